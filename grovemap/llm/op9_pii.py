@@ -157,9 +157,9 @@ class Tagger:
             z *= 1 - a * a
             grads["u" + d] += hid.T @ z
             d_hid, d_cell = z @ self.p["u" + d].T, dc * f
-        hot = np.zeros((SYMBOLS, ids.size))
-        hot[ids.ravel(), np.arange(ids.size)] = 1
-        grads["x" + d] += hot @ d_z.reshape(ids.size, -1)
+        order = np.argsort(ids, axis=None, kind="stable")
+        seen, first = np.unique(ids.ravel()[order], return_index=True)
+        grads["x" + d][seen] += np.add.reduceat(d_z.reshape(ids.size, -1)[order], first, axis=0)
 
     def loss(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood of the tags (T, B) and its gradients."""
@@ -185,8 +185,8 @@ class Tagger:
         share /= n
         grads["move"] += both / n
         grads["bias"] += share.sum(axis=(0, 1))
-        grads["wf"] += np.tensordot(fo, share, ((0, 1), (0, 1)))
-        grads["wb"] += np.tensordot(bo[::-1], share, ((0, 1), (0, 1)))
+        grads["wf"] += np.einsum("tnh,tnk->hk", fo, share)
+        grads["wb"] += np.einsum("tnh,tnk->hk", bo[::-1], share)
         self._back(ids, fk, share @ self.p["wf"].T, "f", grads)
         self._back(ids[::-1], bk, (share @ self.p["wb"].T)[::-1], "b", grads)
         return (z.sum() - gold) / n, grads
