@@ -50,7 +50,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, default: float
     are drawn alike, and rows with a null id share one draw. Null and empty
     texts count no token but are emitted at their source's rate; where a source
     has no token at all its rate is 0. The null source is a source with the
-    default weight. Extra columns pass through.
+    default weight. Extra columns pass through; one of copy_col's name is
+    replaced.
     """
     # The table of rates has a row for each source. Spark broadcasts it if its size allows; else the join shuffles, which AQE splits where a source is hot.
     r = rates(docs, weights, default, budget).select(F.col("_gm_source"), F.col("rate").alias("_gm_rate"))
@@ -58,7 +59,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, default: float
     whole = F.floor("_gm_rate")
     copies = (whole + F.when(uniform(seed, docs["doc_id"]) < F.col("_gm_rate") - whole, 1).otherwise(0)).cast("int")
     out = joined.withColumn("_gm_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))))
-    return out.select(*[docs[c] for c in docs.columns], *([F.col("_gm_copy").cast("long").alias(copy_col)] if copy_col else []))
+    kept = [docs[c] for c in docs.columns if not copy_col or c.lower() != copy_col.lower()]
+    return out.select(*kept, *([F.col("_gm_copy").cast("long").alias(copy_col)] if copy_col else []))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
