@@ -3,7 +3,8 @@
 handoff: users linked to the user of the next error event; cyclic and dense.
 purchase: the same over purchases, kept where the value is above 130; sparse,
 with many components. keys: regions, nations, customers, suppliers and orders
-with foreign keys as references and containment; a typed graph without cycles.
+with foreign keys as references and containment, imports among nations and calls
+from customers to suppliers; a typed graph.
 """
 
 from __future__ import annotations
@@ -48,23 +49,27 @@ _LINKS = [("nation", "n_nationkey", "region", "n_regionkey", "imports", False),
 
 
 def _keys_nodes_sql() -> str:
-    text = "SELECT CAST({k} AS BIGINT) * {b} + {key} AS ix, concat('{t}:', CAST({key} AS VARCHAR(20))) AS id, concat('{t} ', CAST({key} AS VARCHAR(20))) AS name, '{kind}' AS node_type, CAST(({key} * 37) % 1200 AS DOUBLE) AS size, '#888888' AS color, concat('p', CAST({key} % 5 AS VARCHAR(20)), '/{t}/', CAST({key} AS VARCHAR(20))) AS file_path FROM {t}"
+    text = "SELECT CAST({k} AS BIGINT) * {b} + {key} AS ix, concat('{t}:', CAST({key} AS VARCHAR(20))) AS id, concat('{t} ', CAST({key} AS VARCHAR(20))) AS name, '{kind}' AS node_type, CAST(({key} * 37) % 1200 AS DOUBLE) AS size, '#888888' AS color, concat('p', CAST({key} % 5 AS VARCHAR(20)), '/{t}/', CAST({key} AS VARCHAR(20))) AS file_path FROM {{{t}}}"
     return " UNION ALL ".join(text.format(k=k, b=_BASE, key=key, t=t, kind=kind) for t, (k, key, kind) in _KINDS.items())
 
 
 def _keys_edges_sql() -> str:
+    def link(n: int, key: str, a: str, b: str, kind: str, tables: str) -> str:
+        return f"SELECT CAST({n} AS BIGINT) * {_BASE} + {key} AS eix, {a} AS src, {b} AS dst, '{kind}' AS edge_type, CAST(1.0 AS DOUBLE) AS weight FROM {tables}"
+
+    at = lambda t, key: f"CAST({_KINDS[t][0]} AS BIGINT) * {_BASE} + {key}"
     out = []
     for n, (t, key, other, fk, kind, down) in enumerate(_LINKS):
-        child = f"CAST({_KINDS[t][0]} AS BIGINT) * {_BASE} + {key}"
-        parent = f"CAST({_KINDS[other][0]} AS BIGINT) * {_BASE} + {fk}"
-        a, b = (parent, child) if down else (child, parent)
-        out.append(f"SELECT CAST({n} AS BIGINT) * {_BASE} + {key} AS eix, {a} AS src, {b} AS dst, '{kind}' AS edge_type, CAST(1.0 AS DOUBLE) AS weight FROM {t}")
+        ends = (at(other, fk), at(t, key)) if down else (at(t, key), at(other, fk))
+        out.append(link(n, key, *ends, kind, f"{{{t}}}"))
+    out.append(link(5, "n_nationkey", at("nation", "n_nationkey"), at("nation", "((n_nationkey * 7 + 3) % 25)"), "imports", "{nation}"))
+    out.append(link(6, "c_custkey", at("customer", "c_custkey"), at("supplier", "s_suppkey"), "calls", "{customer} JOIN {supplier} ON c_custkey = s_suppkey"))
     return " UNION ALL ".join(out)
 
 
 def keys(spark: SparkSession, sf_dir: str) -> Graph:
     tables = {t: _table(spark, sf_dir, t) for t in _KINDS}
-    return Graph(spark.sql(_keys_nodes_sql().replace(" FROM ", " FROM {").replace(" UNION ALL", "} UNION ALL") + "}", **tables), spark.sql(_keys_edges_sql().replace(" FROM ", " FROM {").replace(" UNION ALL", "} UNION ALL") + "}", **tables))
+    return Graph(spark.sql(_keys_nodes_sql(), **tables), spark.sql(_keys_edges_sql(), **tables))
 
 
 def _trail_sql(kind: str, least: float | None) -> str:
@@ -77,5 +82,5 @@ edges AS (SELECT eix, a.ix AS src, b.ix AS dst, 'calls' AS edge_type, (eix % 4):
 _COMMON = """,
 n AS (SELECT count(*) AS n FROM nodes),
 deg AS (SELECT nodes.*, coalesce(i, 0) AS d_in, coalesce(o, 0) AS d_out, (SELECT n FROM n) AS n FROM nodes LEFT JOIN (SELECT dst, count(*) AS i FROM edges GROUP BY dst) ON ix = dst LEFT JOIN (SELECT src, count(*) AS o FROM edges GROUP BY src) ON ix = src)"""
-SQL = {"handoff": _trail_sql("error", None) + _COMMON, "purchase": _trail_sql("purchase", 130.0) + _COMMON, "keys": f"nodes AS ({_keys_nodes_sql()}), edges AS ({_keys_edges_sql()})" + _COMMON}
+SQL = {"handoff": _trail_sql("error", None) + _COMMON, "purchase": _trail_sql("purchase", 130.0) + _COMMON, "keys": f"nodes AS ({_keys_nodes_sql()}), edges AS ({_keys_edges_sql()})".format(**{t: t for t in _KINDS}) + _COMMON}
 GRAPHS = {"handoff": handoff, "purchase": purchase, "keys": keys}

@@ -8,8 +8,9 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovemap.operators import centrality, community, graph, impact, primitives, quality, report, risk
+from grovemap.operators import centrality, community, filetree, graph, impact, lod, primitives, quality, report, risk
 from grovemap.plans.fixtures import GRAPHS, SQL
+from grovemap.sources import languages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -134,3 +135,32 @@ add("ranges", "purchase", report.ranges)
 add("summary_v1", "purchase", report.summary_v1)
 add("client_metrics", "purchase", lambda g: report.client_metrics(g).select("ix", "path", "community", "importance", "risk", "payoff", F.col("raw.k_core").alias("k_core"), F.col("raw.cyclomatic").alias("cyclomatic"), F.col("normalized.in_degree").alias("in_degree")))
 add("robust_scaled", "keys", lambda g: report.robust_scaled(graph.with_degrees(g).select("ix", F.col("d_in").cast("double").alias("value"))), "SELECT ix, round(CASE WHEN hi = lo THEN 1 ELSE least(greatest((d_in - lo) / nullif(hi - lo, 0), 0), 1) END, 6)::DOUBLE AS scaled FROM deg, (SELECT quantile_cont(d_in::DOUBLE, 0.01) AS lo, quantile_cont(d_in::DOUBLE, 0.99) AS hi FROM deg)")
+
+_LOD = """files AS (SELECT ix, id, name AS label, 'pkg.' || split_part(file_path, '/', 1) AS package FROM nodes WHERE node_type = 'file'),
+functions AS (SELECT x.ix, x.id, x.name AS label, min_by(f.id, e.eix) AS file FROM nodes x JOIN edges e ON e.dst = x.ix AND e.edge_type = 'contains' JOIN nodes f ON e.src = f.ix AND f.node_type = 'file' WHERE x.node_type IN ('function', 'class', 'method') GROUP BY ALL),
+imports AS (SELECT a.id AS source, b.id AS target FROM edges JOIN files a ON src = a.ix JOIN files b ON dst = b.ix WHERE edge_type = 'imports'),
+calls AS (SELECT a.id AS source, b.id AS target FROM edges JOIN functions a ON src = a.ix JOIN functions b ON dst = b.ix WHERE edge_type = 'calls')"""
+_FILE_OF = "SELECT id, label, 'file' AS kind, package AS parent FROM files"
+_IMPORT_EDGES = "SELECT source || '->' || target AS id, source, target, 'imports' AS kind, count(*) AS weight FROM imports {} GROUP BY source, target"
+_CALL_EDGES = "SELECT source || '->' || target AS id, source, target, 'calls' AS kind, count(*) AS weight FROM calls {} GROUP BY source, target"
+_view = lambda level, part: lambda g: lod.view(lod.snapshot(g), level)[part]
+add("lod1_nodes", "keys", _view(1, 0), "SELECT DISTINCT package AS id, replace(package, 'pkg.', '') AS label, 'package' AS kind, NULL::VARCHAR AS parent FROM files", _LOD)
+add("lod1_edges", "keys", _view(1, 1), "SELECT a.package || '->' || b.package AS id, a.package AS source, b.package AS target, 'bundled' AS kind, count(*) AS weight FROM imports JOIN files a ON source = a.id JOIN files b ON target = b.id WHERE a.package != b.package GROUP BY a.package, b.package", _LOD)
+add("lod2_nodes", "keys", _view(2, 0), _FILE_OF, _LOD)
+add("lod2_edges", "keys", _view(2, 1), _IMPORT_EDGES.format(""), _LOD)
+add("lod4_nodes", "keys", _view(4, 0), "SELECT id, label, 'function' AS kind, file AS parent FROM functions", _LOD)
+add("lod4_edges", "keys", _view(4, 1), _CALL_EDGES.format(""), _LOD)
+add("lod_file_edges", "keys", lambda g: lod.file_edges(lod.snapshot(g)), "SELECT source, target, count(*) AS weight FROM imports GROUP BY source, target", _LOD)
+add("lod_expand_nodes", "keys", lambda g: lod.expand(lod.snapshot(g), "pkg.p1", 2)[0], f"{_FILE_OF} WHERE package = 'pkg.p1'", _LOD)
+add("lod_expand_edges", "keys", lambda g: lod.expand(lod.snapshot(g), "nation:3", 4)[1], _CALL_EDGES.format("WHERE source IN (SELECT id FROM functions WHERE file = 'nation:3')"), _LOD)
+add("lod_collapse_nodes", "keys", lambda g: lod.collapse(lod.snapshot(g), "pkg.p2")[0], "SELECT id FROM files WHERE package = 'pkg.p2' UNION SELECT id FROM functions WHERE file IN (SELECT id FROM files WHERE package = 'pkg.p2')", _LOD)
+add("lod_collapse_edges", "keys", lambda g: lod.collapse(lod.snapshot(g), "pkg.p2")[1], "SELECT DISTINCT source || '->' || target AS id FROM (SELECT * FROM imports UNION ALL SELECT * FROM calls) WHERE source IN (SELECT id FROM gone) OR target IN (SELECT id FROM gone)", _LOD + ", gone AS (SELECT id FROM files WHERE package = 'pkg.p2' UNION SELECT id FROM functions WHERE file IN (SELECT id FROM files WHERE package = 'pkg.p2'))")
+add("lod_apply_delta", "keys", lambda g: (lambda s: lod.apply_delta(lod.view(s, 2)[0], add=lod.expand(s, "nation:3", 4)[0], remove=lod.collapse(s, "pkg.p2")[0]))(lod.snapshot(g)), f"{_FILE_OF} WHERE package != 'pkg.p2' UNION ALL SELECT id, label, 'function', file FROM functions WHERE file = 'nation:3'", _LOD)
+_TREE = "parts AS (SELECT string_split(file_path, '/') AS p FROM nodes), tree AS (SELECT array_to_string(p[1:i], '/') AS path, any_value(array_to_string(p[1:i - 1], '/')) AS parent, any_value(p[i]) AS name, any_value(i)::BIGINT AS depth, bool_or(i < len(p)) AS is_folder FROM (SELECT p, unnest(range(1, len(p) + 1)) AS i FROM parts) GROUP BY 1)"
+_paths = lambda g: g.nodes.select(F.col("file_path").alias("path"))
+add("file_tree", "keys", lambda g: filetree.tree(_paths(g)), "SELECT path, parent, name, depth, is_folder FROM tree", _TREE)
+add("tree_search", "keys", lambda g: filetree.search(filetree.tree(_paths(g)), "77"), "SELECT path, parent, name, depth, is_folder FROM tree t WHERE contains(name, '77') OR EXISTS (SELECT 1 FROM tree h WHERE contains(h.name, '77') AND starts_with(h.path, t.path || '/'))", _TREE)
+add("common_base", "keys", lambda g: filetree.common_base(_paths(g).filter("path LIKE 'p1/c%'").select(F.concat(F.lit("/x/y/"), "path").alias("path"))), "SELECT '/x/y/p1/customer' AS base")
+add("highlight", "keys", lambda g: graph.highlighted(g.nodes.select("ix", "id"), g.nodes.filter("ix % 9 = 0").select("id")), "SELECT ix, id, ix % 9 = 0 AS in_path FROM nodes")
+add("display_marks", "keys", lambda g: graph.display(risk.risk_v2(g).join(g.nodes.select("ix", "id"), "ix").select("id", "risk", (F.col("risk") * 2).alias("chokepoint"), F.col("risk").alias("importance"), (F.col("ix") % 23).alias("community"))), f"SELECT id, r > 0.7 AS is_risky, r * 2 > 0.7 AS is_chokepoint, round(0.5 + 1.5 * r, 6) AS scale, (ix % 23) % 10 AS color_index FROM (SELECT *, {_RISK2}::DOUBLE AS r FROM deg)")
+add("extension_language", "keys", lambda g: g.nodes.select("ix", languages.language_of(F.concat("name", F.element_at(F.array(*[F.lit(x) for x in (".ts", ".py", ".c", ".md", ".jsx", ".h")]), (F.col("ix") % 6 + 1).cast("int")))).alias("language")), "SELECT ix, CASE ix % 6 WHEN 0 THEN 'typescript' WHEN 1 THEN 'python' WHEN 2 THEN 'c' WHEN 4 THEN 'javascript' WHEN 5 THEN 'c' END AS language FROM nodes")
