@@ -21,40 +21,47 @@ def weight_v2(w: Column) -> Column:
     return F.when(finite(w) & (w >= 0), w).otherwise(1.0)
 
 
-def _move_v1(nodes: list[int], edges: list[tuple[int, int, float]], m: float, gamma: float, sweeps: int) -> dict[int, int]:
-    """Sequential moves in ix order; of equal gains the least community."""
+def _move_v1(nodes: list[int], edges: list[tuple[int, int, float]], m: float, gamma: float, sweeps: int, compat: bool) -> dict[int, int]:
+    """Sequential moves in ix order; of equal gains the least community. compat: a move pays if joining pays, whatever the node leaves; else it must pay more than staying does."""
     near: dict[int, list[tuple[int, float]]] = {v: [] for v in nodes}
+    loops = dict.fromkeys(nodes, 0.0)
     for a, b, w in edges:
+        if a == b:
+            loops[a] += w
+            continue
         near[a].append((b, w))
         near[b].append((a, w))
-    own = {v: sum(w for _, w in near[v]) for v in nodes}
+    own = {v: sum(max(w, 0.0) for _, w in near[v]) + 2 * max(loops[v], 0.0) for v in nodes}
     home = {v: v for v in nodes}
-    touch = dict(own)
+    # weight of the edges that touch each community
+    touch = {v: sum(w for _, w in near[v]) + loops[v] for v in nodes}
     for _ in range(sweeps):
         moved = False
         for v in nodes:
             here = home[v]
             inside: dict[int, float] = {}
+            raw: dict[int, float] = {}
             for u, w in near[v]:
-                if u != v:
-                    inside[home[u]] = inside.get(home[u], 0.0) + w
-            best, gain = here, 0.0
+                inside[home[u]] = inside.get(home[u], 0.0) + max(w, 0.0)
+                raw[home[u]] = raw.get(home[u], 0.0) + w
+            every = sum(raw.values()) + loops[v]
+            rest = touch[here] - (every - raw.get(here, 0.0))
+            gain = lambda c, t: inside.get(c, 0.0) / m - gamma * t * own[v] / (m * m)
+            best, top = here, 0.0 if compat else max(0.0, gain(here, rest))
             for c in sorted(inside):
-                if c != here:
-                    g = inside[c] / m - gamma * touch.get(c, 0.0) * own[v] / (m * m)
-                    if g > gain and math.isfinite(g):
-                        best, gain = c, g
+                if c != here and gain(c, touch[c]) > top:
+                    best, top = c, gain(c, touch[c])
             if best != here:
                 home[v] = best
-                touch[here] -= own[v]
-                touch[best] = touch.get(best, 0.0) + own[v]
+                touch[here] = rest
+                touch[best] += every - raw.get(best, 0.0)
                 moved = True
         if not moved:
             break
     return home
 
 
-def _move_v2(nodes: list[int], edges: list[tuple[int, int, float]], m: float, gamma: float, sweeps: int) -> dict[int, int]:
+def _move_v2(nodes: list[int], edges: list[tuple[int, int, float]], m: float, gamma: float, sweeps: int, compat: bool) -> dict[int, int]:
     near: dict[int, list[tuple[int, float]]] = {v: [] for v in nodes}
     for a, b, w in edges:
         near[a].append((b, abs(w)))
@@ -81,12 +88,13 @@ def _move_v2(nodes: list[int], edges: list[tuple[int, int, float]], m: float, ga
     return home
 
 
-def louvain(g: Graph, version: int = 1, resolution: float = 1.0, sweeps: int = 100) -> DataFrame:
+def louvain(g: Graph, version: int = 1, resolution: float = 1.0, sweeps: int = 100, compat: bool = False) -> DataFrame:
     """(ix, community): one level of local moving, communities numbered from 0 by their least ix.
 
     Moves are sequential by nature. No move crosses a weakly connected
     component, so that each of them is one group; the total weight alone is
-    shared. A graph without weight leaves each node on its own.
+    shared. A graph without weight leaves each node on its own. compat: version
+    1 compares a move with nothing instead of with staying, as it first did.
     """
     fixed = (weight_v1 if version == 1 else weight_v2)(F.coalesce("weight", F.lit(1.0)))
     total = g.edges.agg(F.sum(fixed)).first()[0] or 0.0
@@ -100,7 +108,7 @@ def louvain(g: Graph, version: int = 1, resolution: float = 1.0, sweeps: int = 1
         nodes = sorted(group.loc[group["dst"].isna(), "ix"].tolist())
         real = group[group["dst"].notna()]
         edges = list(zip(real["ix"].tolist(), real["dst"].astype("int64").tolist(), real["w"].tolist()))
-        home = (_move_v1 if version == 1 else _move_v2)(nodes, edges, float(total), gamma, sweeps)
+        home = (_move_v1 if version == 1 else _move_v2)(nodes, edges, float(total), gamma, sweeps, compat)
         first: dict[int, int] = {}
         for v in nodes:
             first.setdefault(home[v], v)
