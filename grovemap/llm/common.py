@@ -1,45 +1,33 @@
-"""Shared helpers: table access, lineage cuts in the shared folder, bounded text chunks."""
+"""Shared helpers: table access, lineage cuts in the shared folder, even spread, bounded text chunks."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grovemap.cluster import cut
+
+__all__ = ["CHUNK_CHARS", "WORD", "chunks", "cut", "spread", "table", "words_in"]
+
 WORD = re.compile(r"\w+")
 #: Characters of text that a Python worker tokenises at a time.
 CHUNK_CHARS = 3_000_000
 
-_own_dirs: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset and Spark runs in one process."""
-    sc = spark.sparkContext
-    if found := sc.getConf().get("spark.checkpoint.dir"):
-        return found.rstrip("/")
-    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return _own_dirs.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="grovemap-"))
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: later plans start from the files, which outlive executors. Removed when the driver's JVM ends."""
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its scan has fewer partitions than those, as a single small file has; tables of many files stay as they are."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/grovemap/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    # a plan with a shuffle is spread already, and asking it for its partitions would run it
+    if "Exchange" in df._jdf.queryExecution().sparkPlan().toString() or df._jdf.queryExecution().executedPlan().nodeName().startswith("Adaptive"):
+        return df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def words_in(text: Column) -> Column:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovemap.llm.common import chunks, table
+from grovemap.llm.common import chunks, spread, table
 
 DIM_BITS = 20
 #: Most labelled documents that the model is fitted on, taken in the order of a hash of their ids.
@@ -163,11 +163,12 @@ def good_documents(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED
     when the labels lack a class or no labelled document is there. Each row is
     judged by its own text, so that repeated rows meet the same fate.
     """
-    return docs.filter(margin(train(docs, labels, limit), F.col("text").cast("string")) >= 0)
+    model = train(docs, labels, limit)
+    return spread(docs).filter(margin(model, F.col("text").cast("string")) >= 0)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, margin) of each document that the classifier keeps."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
-    return docs.select("doc_id", margin(model, F.col("text")).alias("margin")).filter("margin >= 0")
+    return spread(docs.select("doc_id", "text")).select("doc_id", margin(model, F.col("text")).alias("margin")).filter("margin >= 0")

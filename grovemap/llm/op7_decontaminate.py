@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovemap.llm.common import WORD, chunks, cut, table
+from grovemap.llm.common import WORD, chunks, cut, spread, table
 
 #: Tokens of a phrase; shorter items of at least SHORTEST tokens are one phrase.
 PHRASE = 8
@@ -231,7 +231,7 @@ def index(docs: DataFrame, gap: int, id_col: str = "doc_id", text_col: str = "te
                     yield from flush()
         yield from flush()
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _SCHEMA)
+    return spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, _SCHEMA)
 
 
 def term_counts(stored: DataFrame, wanted: np.ndarray) -> np.ndarray:

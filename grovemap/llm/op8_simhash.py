@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from grovemap.llm.common import WORD, chunks, cut, table
+from grovemap.llm.common import WORD, chunks, cut, spread, table
 
 BITS = 128
 #: Largest Hamming distance of near duplicates, of 128.
@@ -147,7 +147,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             signed = prints[ok].view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), pa.array(signed[:, 0]), pa.array(signed[:, 1])], ["id", "hi", "lo"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, hi long, lo long")
+    return spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, "id long, hi long, lo long")
 
 
 def bucket_rows(reps: DataFrame, sets: list[np.ndarray]) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovemap.llm.common import chunks, table
+from grovemap.llm.common import chunks, spread, table
 
 KINDS = ["", "email", "phone", "ip", "card", "secret"]
 HIDDEN = 12
@@ -130,13 +130,17 @@ class Tagger:
 
     # training over whole windows of one length: ids (T, B)
 
-    def _run(self, ids: np.ndarray, d: str):
-        h, n = HIDDEN, ids.shape[1]
-        hid, cell, kept = np.zeros((n, h)), np.zeros((n, h)), []
-        outs = np.empty((len(ids), n, h))
+    def _run(self, ids: np.ndarray):
+        """Outputs (T, 2, B, H) of both directions over ids (T, 2, B), and what the way back needs."""
+        h, n = HIDDEN, ids.shape[2]
+        x, u = np.stack([self.p["xf"], self.p["xb"]]), np.stack([self.p["uf"], self.p["ub"]])
+        into = x[np.arange(2)[None, :, None], ids]
+        hid, cell, kept = np.zeros((2, n, h), x.dtype), np.zeros((2, n, h), x.dtype), []
+        outs = np.empty((len(ids), 2, n, h), x.dtype)
         for t in range(len(ids)):
-            a = np.tanh(self.p["x" + d][ids[t]] + hid @ self.p["u" + d])
-            i, f, o, g = (1 + a[:, :h]) / 2, (1 + a[:, h : 2 * h]) / 2, (1 + a[:, 2 * h : 3 * h]) / 2, a[:, 3 * h :]
+            a = np.tanh(into[t] + hid @ u)
+            gates = (1 + a[..., : 3 * h]) / 2
+            i, f, o, g = gates[..., :h], gates[..., h : 2 * h], gates[..., 2 * h :], a[..., 3 * h :]
             new = f * cell + i * g
             tc = np.tanh(new)
             kept.append((a, i, f, o, g, cell, tc, hid))
@@ -144,28 +148,33 @@ class Tagger:
             outs[t] = hid
         return outs, kept
 
-    def _back(self, ids, kept, d_outs, d, grads):
+    def _back(self, ids, kept, d_outs, grads):
         h = HIDDEN
+        back = np.stack([self.p["uf"].T, self.p["ub"].T])
         d_hid, d_cell = np.zeros_like(d_outs[0]), np.zeros_like(d_outs[0])
-        d_z = np.empty((len(ids), ids.shape[1], 4 * h))
+        d_z = np.empty((*ids.shape, 4 * h), back.dtype)
         for t in range(len(ids) - 1, -1, -1):
-            a, i, f, o, g, before, tc, hid = kept[t]
+            a, i, f, o, g, before, tc, _ = kept[t]
             dh = d_outs[t] + d_hid
             dc = d_cell + dh * o * (1 - tc * tc)
             z = d_z[t]
-            z[:, :h], z[:, h : 2 * h], z[:, 2 * h : 3 * h], z[:, 3 * h :] = dc * g / 2, dc * before / 2, dh * tc / 2, dc * i
+            z[..., :h], z[..., h : 2 * h], z[..., 2 * h : 3 * h], z[..., 3 * h :] = dc * g / 2, dc * before / 2, dh * tc / 2, dc * i
             z *= 1 - a * a
-            grads["u" + d] += hid.T @ z
-            d_hid, d_cell = z @ self.p["u" + d].T, dc * f
-        order = np.argsort(ids, axis=None, kind="stable")
-        seen, first = np.unique(ids.ravel()[order], return_index=True)
-        grads["x" + d][seen] += np.add.reduceat(d_z.reshape(ids.size, -1)[order], first, axis=0)
+            d_hid, d_cell = z @ back, dc * f
+        hid = np.stack([k[7] for k in kept])
+        for k, d in enumerate("fb"):
+            grads["u" + d] += sum(np.matmul(hid[:, k].transpose(0, 2, 1), d_z[:, k]))
+            flat = ids[:, k].ravel()
+            order = np.argsort(flat, kind="stable")
+            seen, first = np.unique(flat[order], return_index=True)
+            grads["x" + d][seen] += np.add.reduceat(d_z[:, k].reshape(flat.size, -1)[order], first, axis=0)
 
     def loss(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood of the tags (T, B) and its gradients."""
         grads = {k: np.zeros_like(v) for k, v in self.p.items()}
-        fo, fk = self._run(ids, "f")
-        bo, bk = self._run(ids[::-1], "b")
+        both_ways = np.stack([ids, ids[::-1]], axis=1)
+        outs, kept = self._run(both_ways)
+        fo, bo = outs[:, 0], outs[:, 1]
         e = fo @ self.p["wf"] + bo[::-1] @ self.p["wb"] + self.p["bias"]
         move, (steps, n, k) = self.p["move"], e.shape
         fwd, bwd = np.empty_like(e), np.zeros_like(e)
@@ -187,8 +196,7 @@ class Tagger:
         grads["bias"] += share.sum(axis=(0, 1))
         grads["wf"] += np.einsum("tnh,tnk->hk", fo, share)
         grads["wb"] += np.einsum("tnh,tnk->hk", bo[::-1], share)
-        self._back(ids, fk, share @ self.p["wf"].T, "f", grads)
-        self._back(ids[::-1], bk, (share @ self.p["wb"].T)[::-1], "b", grads)
+        self._back(both_ways, kept, np.stack([share @ self.p["wf"].T, (share @ self.p["wb"].T)[::-1]], axis=1), grads)
         return (z.sum() - gold) / n, grads
 
     # decoding of windows of any length, with features first so that each gate is one block of memory
@@ -318,7 +326,7 @@ def reconcile(text: str, found: list[tuple[int, int, int, bool]]) -> Spans:
 @functools.lru_cache(maxsize=4)
 def train(lines: tuple[str, ...], steps: int = STEPS, seed: int = 5) -> Tagger:
     """A tagger fitted to labelled texts made from the lines, by Adam; the same for the same arguments."""
-    model, rng = Tagger(seed), np.random.default_rng(seed)
+    model, rng = Tagger(seed).frozen(), np.random.default_rng(seed)
     texts = labelled(list(lines), 8000, seed)
     codes = [encode(t).astype(np.intp) for t, _ in texts]
     tags = []
@@ -336,13 +344,13 @@ def train(lines: tuple[str, ...], steps: int = STEPS, seed: int = 5) -> Tagger:
             ids[:, j], gold[:, j] = codes[i][s : s + LENGTH], tags[i][s : s + LENGTH]
         _, grads = model.loss(ids, gold)
         norm = np.sqrt(sum((g * g).sum() for g in grads.values()))
-        rate = 0.02 * min(1.0, step / 20) * (1 - 0.95 * step / steps)
+        rate = float(0.02 * min(1.0, step / 20) * (1 - 0.95 * step / steps))
         for k, g in grads.items():
-            g = g * min(1.0, 5.0 / norm)
+            g = g * min(1.0, 5.0 / float(norm))
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.99 * v[k] + 0.01 * g * g
             model.p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
-    return model.frozen()
+    return model
 
 
 def carrier_lines(docs: DataFrame, limit: int = CARRIER_DOCS) -> tuple[str, ...]:
@@ -370,7 +378,7 @@ def find(docs: DataFrame, model: Tagger, id_col: str = "doc_id", text_col: str =
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["doc_id", "start", "end", "kind", "value"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, start long, end long, kind string, value string")
+    return spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, "doc_id long, start long, end long, kind string, value string")
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
