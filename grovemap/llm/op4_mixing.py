@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovemap.llm.common import table, words_in
+from grovemap.llm.common import cut, table, words_in
 
 #: Target weights of sources, relative to each other; sources not named have DEFAULT_WEIGHT.
 WEIGHTS: Mapping[str, float] = {"src0": 2.0, "src1": 3.0, "src2": 1.5}
@@ -53,8 +53,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, default: float
     default weight. Extra columns pass through; one of copy_col's name is
     replaced.
     """
-    # The table of rates has a row for each source. Spark broadcasts it if its size allows; else the join shuffles, which AQE splits where a source is hot.
-    r = rates(docs, weights, default, budget).select(F.col("_gm_source"), F.col("rate").alias("_gm_rate"))
+    # The table of rates has a row for each source. Written out, its size is known to the planner, which broadcasts it if that allows; else the join shuffles, and AQE splits hot sources.
+    r = cut(rates(docs, weights, default, budget), "rates").select(F.col("_gm_source"), F.col("rate").alias("_gm_rate"))
     joined = docs.join(r, docs["source"].cast("string").eqNullSafe(r["_gm_source"]))
     whole = F.floor("_gm_rate")
     copies = (whole + F.when(uniform(seed, docs["doc_id"]) < F.col("_gm_rate") - whole, 1).otherwise(0)).cast("int")
