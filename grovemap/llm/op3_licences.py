@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovemap.llm.common import table
+from grovemap.llm.common import cut, table
 
 #: Spellings that count as one, the second taken; replaced in this order in lower-case text.
 EQUIVALENT = [
@@ -58,7 +58,8 @@ def _flat(text: Column) -> Column:
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
     """(_gm_known, licence), one row for each digest: of licences that share one the first by name."""
     texts = spark.createDataFrame(known, "licence string, text string")
-    return texts.groupBy(F.md5(_flat(canonical(F.col("text")))).alias("_gm_known")).agg(F.min("licence").alias("licence"))
+    # written out, its size is known to the planner
+    return cut(texts.groupBy(F.md5(_flat(canonical(F.col("text")))).alias("_gm_known")).agg(F.min("licence").alias("licence")), "licences")
 
 
 def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
