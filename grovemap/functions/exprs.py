@@ -24,9 +24,9 @@ def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
 
 
-def scaled(x: Column, low: Column, high: Column) -> Column:
-    """(x - low) / (high - low) within [0, 1]; 0.5 where the range is empty."""
-    return F.when(F.abs(high - low) < 1e-12, F.lit(0.5)).otherwise(clamp((x - low) / F.nullif(high - low, F.lit(0.0))))
+def scaled(x: Column, low: Column, high: Column, empty: float = 0.5) -> Column:
+    """(x - low) / (high - low) within [0, 1]; `empty` where the range is empty."""
+    return F.when(F.abs(high - low) < 1e-12, F.lit(empty)).otherwise(clamp((x - low) / F.nullif(high - low, F.lit(0.0))))
 
 
 def directory(path: Column) -> Column:
