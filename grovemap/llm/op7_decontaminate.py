@@ -316,7 +316,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, chance_run: int = CHANCE
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones; rows with a null id stay."""
-    gone = contaminated(docs, benchmark)
+    # written out, its size is known to the planner: few ids are broadcast, and the documents stay where they are
+    gone = cut(contaminated(docs, benchmark), "contaminated")
     return docs.join(gone, docs["doc_id"] == gone["_gm_id"], "left_anti")
 
 
