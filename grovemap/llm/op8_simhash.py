@@ -259,9 +259,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs without near duplicates: of each group the document of the least id stays, once even if its row is repeated. Rows with a null id stay."""
-    gone = near_duplicates(docs, **options).select(F.col("doc_id").alias("_gm_id"))
-    again = docs.groupBy(F.col("doc_id").alias("_gm_id")).count().filter("`count` > 1 AND _gm_id IS NOT NULL").select("_gm_id")
+    # written out, their sizes are known to the planner
+    gone = cut(near_duplicates(docs, **options).select(F.col("doc_id").alias("_gm_id")), "duplicates")
+    again = cut(docs.groupBy(F.col("doc_id").alias("_gm_id")).count().filter("`count` > 1 AND _gm_id IS NOT NULL").select("_gm_id"), "repeated")
     left = docs.join(gone, docs["doc_id"] == gone["_gm_id"], "left_anti")
+    if again.isEmpty():
+        return left
     once = left.join(again, left["doc_id"] == again["_gm_id"], "left_anti")
     return once.unionByName(left.join(again, left["doc_id"] == again["_gm_id"], "left_semi").dropDuplicates(["doc_id"]))
 
