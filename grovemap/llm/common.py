@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovemap.cluster import cut
 
-__all__ = ["CHUNK_CHARS", "WORD", "chunks", "cut", "spread", "table", "words_in"]
+__all__ = ["CHUNK_CHARS", "WORD", "chunks", "cut", "least_hashed", "release", "spread", "table", "tidy", "words_in"]
 
 WORD = re.compile(r"\w+")
 #: Characters of text that a Python worker tokenises at a time.
-CHUNK_CHARS = 3_000_000
+CHUNK_CHARS = 1_000_000
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,6 +32,31 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def least_hashed(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """At most limit rows, those of the least hash of key. Rows above a hash that about twice as many stay below are dropped first, so that what tasks hand to the driver doesn't grow with their number."""
+    h, n = F.xxhash64(key), rows.count()
+    if n > 4 * limit:
+        rows = rows.filter(h < F.lit(int(-(2**63) + 2 * limit / n * 2**64)))
+    return rows.orderBy(h, key).limit(limit)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, which afterwards hands its memory back to the system: Python workers stay alive between stages."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
+
+
 def words_in(text: Column) -> Column:
     """Number of white-space separated words; 0 for null and blank text."""
     trimmed = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))

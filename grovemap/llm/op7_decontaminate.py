@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovemap.llm.common import WORD, chunks, cut, spread, table
+from grovemap.llm.common import WORD, chunks, cut, spread, table, tidy
 
 #: Tokens of a phrase; shorter items of at least SHORTEST tokens are one phrase.
 PHRASE = 8
@@ -231,7 +231,7 @@ def index(docs: DataFrame, gap: int, id_col: str = "doc_id", text_col: str = "te
                     yield from flush()
         yield from flush()
 
-    return spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, _SCHEMA)
+    return spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(tidy(run), _SCHEMA)
 
 
 def term_counts(stored: DataFrame, wanted: np.ndarray) -> np.ndarray:
@@ -248,7 +248,7 @@ def term_counts(stored: DataFrame, wanted: np.ndarray) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["term", "n"])
 
     out = np.zeros(len(wanted), np.int64)
-    found = stored.select("terms", "counts").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = stored.select("terms", "counts").mapInArrow(tidy(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out[found["term"].to_numpy()] = found["n"].to_numpy()
     return out
 
@@ -304,7 +304,7 @@ def _search(spark: SparkSession, stored: DataFrame, part: list[tuple[int, list[i
                     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
-    return stored.drop("segment").mapInArrow(run, "doc_id long, item_id long, match string, doc_start long, item_start long, n_tokens long")
+    return stored.drop("segment").mapInArrow(tidy(run), "doc_id long, item_id long, match string, doc_start long, item_start long, n_tokens long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, chance_run: int = CHANCE_RUN) -> DataFrame:

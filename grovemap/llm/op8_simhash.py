@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from grovemap.llm.common import WORD, chunks, cut, spread, table
+from grovemap.llm.common import WORD, chunks, cut, spread, table, tidy
 
 BITS = 128
 #: Largest Hamming distance of near duplicates, of 128.
@@ -147,7 +147,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             signed = prints[ok].view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), pa.array(signed[:, 0]), pa.array(signed[:, 1])], ["id", "hi", "lo"])
 
-    return spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, "id long, hi long, lo long")
+    return spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(tidy(run), "id long, hi long, lo long")
 
 
 def bucket_rows(reps: DataFrame, sets: list[np.ndarray]) -> DataFrame:
@@ -163,7 +163,7 @@ def bucket_rows(reps: DataFrame, sets: list[np.ndarray]) -> DataFrame:
                 for t, chosen in enumerate(sets):
                     yield pa.RecordBatch.from_arrays([pa.array((bits[:, chosen] @ powers) + (t << width)), *piece.columns], ["key", "id", "hi", "lo"])
 
-    return reps.mapInArrow(run, "key long, id long, hi long, lo long")
+    return reps.mapInArrow(tidy(run), "key long, id long, hi long, lo long")
 
 
 def compare(rows: DataFrame, radius: int, every: bool) -> DataFrame:
@@ -204,7 +204,7 @@ def compare(rows: DataFrame, radius: int, every: bool) -> DataFrame:
                 root = root[root]
             yield send(names[root[moved]], names[moved], np.zeros(len(moved)))
 
-    out = rows.mapInArrow(run, "a long, b long, distance int")
+    out = rows.mapInArrow(tidy(run), "a long, b long, distance int")
     return out.distinct()
 
 
