@@ -10,7 +10,7 @@ and a block of lanes is abandoned as soon as all of them exceed the radius.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,6 +27,8 @@ BITS = 128
 RADIUS = 20
 #: Probability with which a pair at the radius itself meets in a bucket; nearer pairs meet more often.
 RECALL = 0.95
+#: Fingerprints of a bucket from which comparisons inside one component are left out.
+LARGE_BUCKET = 2048
 #: Fingerprints that a bucket holds on average.
 BUCKET = 48
 _CELLS = 1 << 15
@@ -71,8 +73,8 @@ def planes_of(bits: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(padded.T), axis=1, bitorder="little").copy(order="C").view(np.uint64)
 
 
-def sliced_pairs(bits: np.ndarray, ends: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs i < j < ends[i] within radius; rows are sorted so that a bucket is a run of rows, which for row i ends before ends[i]."""
+def sliced_pairs(bits: np.ndarray, ends: np.ndarray, radius: int, known: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs i < j < ends[i] within radius; rows are sorted so that a bucket is a run of rows, which for row i ends before ends[i]. known: given rows and words, which of these cells to leave out."""
     n, width = bits.shape
     planes, counters = planes_of(bits), (radius + 1).bit_length()
     # the counters start at 2**counters - 1 - radius, so that the carry out of the top one says "beyond the radius"
@@ -88,6 +90,9 @@ def sliced_pairs(bits: np.ndarray, ends: np.ndarray, radius: int) -> Iterator[tu
         q = np.repeat(np.arange(row, stop), many)
         w = np.repeat(first[row:stop], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         row = stop
+        if known is not None:
+            new = ~known(q, w)
+            q, w = q[new], w[new]
         for s in range(0, len(q), _CELLS):
             yield from _cells(bits, planes, q[s : s + _CELLS], w[s : s + _CELLS], ends, counters, begin, width)
 
@@ -181,28 +186,42 @@ def compare(rows: DataFrame, radius: int, every: bool) -> DataFrame:
         bits = bit_matrix(prints)
         names, place = np.unique(ids, return_inverse=True)
         label = np.arange(len(names))
-        a, b, waiting = [], [], 0
+        a, b = [], []
+        large = ends - np.arange(len(ends)) > LARGE_BUCKET
 
         def send(x, y, d):
             return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(d.astype(np.int32))], ["a", "b", "distance"])
 
-        for i, j in sliced_pairs(bits, ends, radius):
+        def settle():
+            nonlocal label
+            if a:
+                label = forest(np.concatenate(a), np.concatenate(b), label)
+                while not np.array_equal(label, label[label]):
+                    label = label[label]
+                a.clear()
+                b.clear()
+
+        def known(q, w):
+            """In large buckets, cells of 64 lanes that are all in the row's own component already: they can't change it."""
+            if not large[q].any():
+                return np.zeros(len(q), bool)
+            settle()
+            root = label[place]
+            lanes = np.concatenate([root, np.repeat(root[-1:], -len(root) % 64)]).reshape(-1, 64)
+            return (lanes.min(axis=1) == lanes.max(axis=1))[w] & (lanes[:, 0][w] == root[q])
+
+        for i, j in sliced_pairs(bits, ends, radius, None if every else known):
             if every:
                 yield send(np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), (bits[i] != bits[j]).sum(axis=1))
                 continue
             a.append(place[i])
             b.append(place[j])
-            waiting += len(i)
-            if waiting > 1_000_000:
-                label, a, b, waiting = forest(np.concatenate(a), np.concatenate(b), label), [], [], 0
-        if a:
-            label = forest(np.concatenate(a), np.concatenate(b), label)
+            if sum(map(len, a)) > 1_000_000:
+                settle()
+        settle()
         moved = np.flatnonzero(label != np.arange(len(names)))
         if len(moved):
-            root = label
-            while not np.array_equal(root, root[root]):
-                root = root[root]
-            yield send(names[root[moved]], names[moved], np.zeros(len(moved)))
+            yield send(names[label[moved]], names[moved], np.zeros(len(moved)))
 
     out = rows.mapInArrow(tidy(run), "a long, b long, distance int")
     return out.distinct()
