@@ -11,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from grovemap.llm.common import table
+from grovemap.llm.common import cut, table
 
 #: Query parameters that don't identify a page.
 TRACKING = r"(utm_[^=&]*|ref|fbclid|gclid|sessionid)"
+#: Time that one task of a URL covers.
+SPAN_SECONDS = 30 * 86400
 #: Headers of a 304 that never replace stored ones: those that describe the message's body or the connection.
 NOT_MERGED = ["connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authentication-info", "proxy-authorization", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade"]
 
@@ -44,7 +46,7 @@ def merged_headers(stored: Column, fresh: Column) -> Column:
     return F.array_join(F.array_sort(F.transform(both, lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit(""))))), "\n")
 
 
-def resolve(records: DataFrame) -> DataFrame:
+def resolve(records: DataFrame, span_seconds: int = SPAN_SECONDS) -> DataFrame:
     """(record_id, canonical, outcome, response_id, payload_digest, headers) for each revisit of records(record_id, url, ts, kind, etag, last_modified, payload_digest, headers).
 
     kind is 'response' (a full one) or 'revisit'; ts a number; headers a map.
@@ -56,14 +58,22 @@ def resolve(records: DataFrame) -> DataFrame:
     or time never finds a response. Repeated revisits give repeated rows, other
     kinds and columns are ignored.
 
-    One shuffle on the URL carries narrow rows; payloads stay where they are.
-    The running maximum holds one row, so a URL's captures needn't fit in memory.
+    Only narrow rows are shuffled, payloads stay where they are. Time is cut into
+    spans: within one, a running maximum finds the latest response; the last
+    one of earlier spans comes from a window that sees a row for each span. So
+    a URL of very many captures is spread over as many tasks as it has spans.
     """
     rows = records.filter(F.col("kind").isin("response", "revisit")).select("record_id", canonical_url(F.col("url")).alias("canonical"), F.col("ts").cast("long").alias("ts"), "kind", "etag", "last_modified", "payload_digest", "headers")
     is_full = (F.col("kind") == "response") & F.col("ts").isNotNull() & F.col("canonical").isNotNull()
     full = F.when(is_full, F.struct("ts", "record_id", "etag", "last_modified", "payload_digest", F.map_entries("headers").alias("headers")))
-    earlier = Window.partitionBy("canonical").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    found = rows.withColumn("r", F.max(full).over(earlier)).filter("kind = 'revisit'")
+    rows = cut(rows.withColumn("span", F.floor(F.col("ts") / span_seconds)).withColumn("full", full), "captures")
+    last = rows.filter("full IS NOT NULL").groupBy("canonical", "span").agg(F.max("full").alias("last"))
+    # spans with a revisit need the last response of those before, so that both kinds of span stand in the window
+    spans = rows.filter("kind = 'revisit' AND span IS NOT NULL AND canonical IS NOT NULL").select("canonical", "span").distinct().join(last, ["canonical", "span"], "full")
+    before = spans.select("canonical", "span", F.max("last").over(Window.partitionBy("canonical").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    inside = Window.partitionBy("canonical", "span").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
+    near = rows.withColumn("near", F.max("full").over(inside)).filter("kind = 'revisit'").drop("full")
+    found = near.join(before, ["canonical", "span"], "left").withColumn("r", F.coalesce("near", "before"))
     missing = F.col("r").isNull() | F.col("ts").isNull() | F.col("canonical").isNull()
     outcome = (
         F.when(missing, "no_response")

@@ -76,7 +76,8 @@ def test_canonical_urls(spark):
 REC = "record_id long, url string, ts long, kind string, etag string, last_modified string, payload_digest string, headers map<string,string>"
 
 
-def test_revisits_against_brute_force(spark):
+@pytest.mark.parametrize("span", [7, op2.SPAN_SECONDS])
+def test_revisits_against_brute_force(spark, span):
     rng = random.Random(1)
     rows = []
     for i in range(400):
@@ -84,7 +85,7 @@ def test_revisits_against_brute_force(spark):
         tag = rng.choice([None, '"a"', 'W/"a"', '"b"'])
         rows.append((i, f"http://h{rng.randrange(6)}.com/", rng.randrange(60), kind, tag, rng.choice([None, "d1", "d2"]), f"p{i}" if kind == "response" else None, {"X": str(i), "Content-Type": str(i)}))
     rows += [rows[5], rows[5]]
-    got = sorted(map(tuple, op2.resolve(spark.createDataFrame(rows, REC)).select("record_id", "outcome", "response_id", "payload_digest", "headers").collect()), key=str)
+    got = sorted(map(tuple, op2.resolve(spark.createDataFrame(rows, REC), span).select("record_id", "outcome", "response_id", "payload_digest", "headers").collect()), key=str)
     want = []
     for r in rows:
         if r[3] != "revisit":
