@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovemap.llm.common import chunks, spread, table
+from grovemap.llm.common import chunks, least_hashed, release, spread, table, tidy
 
 DIM_BITS = 20
 #: Most labelled documents that the model is fitted on, taken in the order of a hash of their ids.
@@ -120,7 +120,7 @@ def fit(rows: list[np.ndarray], good: np.ndarray, seed: int = 11) -> Model | Non
 def labelled_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[list[np.ndarray], np.ndarray]:
     """Feature ids and goodness of at most limit labelled documents. A document whose labels differ counts as bad."""
     chosen = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("_gm_id")).agg(F.min(F.col("quality").cast("int")).alias("_gm_good"))
-    chosen = chosen.orderBy(F.xxhash64("_gm_id"), "_gm_id").limit(limit)
+    chosen = least_hashed(chosen, "_gm_id", limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,8 +130,8 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), lists], ["id", "good", "features"])
 
     # the sample is bounded by `limit`, so that it can be sent to the documents whatever their number
-    texts = docs.select(F.col("doc_id").cast("long").alias("_gm_id"), F.col("text").cast("string").alias("_gm_text")).join(F.broadcast(chosen), "_gm_id")
-    found = texts.select("_gm_id", "_gm_good", "_gm_text").mapInArrow(run, "id long, good int, features array<int>").toArrow().sort_by("id")
+    texts = spread(docs.select(F.col("doc_id").cast("long").alias("_gm_id"), F.col("text").cast("string").alias("_gm_text"))).join(F.broadcast(chosen), "_gm_id")
+    found = texts.select("_gm_id", "_gm_good", "_gm_text").mapInArrow(tidy(run), "id long, good int, features array<int>").toArrow().sort_by("id")
     rows = [x.values.to_numpy().astype(np.int64) for x in found["features"]]
     return rows, np.array(found["good"].to_pylist(), dtype=int) > 0
 
@@ -150,7 +150,9 @@ def margin(model: Model | None, text: Column) -> Column:
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
         m = shared.value
-        return pd.Series(m.score(texts.where(texts.notna(), None).tolist()) - m.cutoff)
+        out = pd.Series(m.score(texts.where(texts.notna(), None).tolist()) - m.cutoff)
+        release()
+        return out
 
     return run(text)
 
