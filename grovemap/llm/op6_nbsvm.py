@@ -154,7 +154,8 @@ def margin(model: Model | None, text: Column) -> Column:
         release()
         return out
 
-    return run(text)
+    # not deterministic in the planner's eyes, else it would copy a filter on the margin below the projection and score each text twice
+    return run.asNondeterministic()(text)
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
