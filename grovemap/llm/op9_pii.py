@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovemap.llm.common import chunks, spread, table
+from grovemap.llm.common import chunks, least_hashed, spread, table, tidy
 
 KINDS = ["", "email", "phone", "ip", "card", "secret"]
 HIDDEN = 12
@@ -355,10 +355,10 @@ def train(lines: tuple[str, ...], steps: int = STEPS, seed: int = 5) -> Tagger:
 
 def carrier_lines(docs: DataFrame, limit: int = CARRIER_DOCS) -> tuple[str, ...]:
     """Lines without digits and @ from at most limit documents."""
-    chosen = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
+    chosen = least_hashed(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("id IS NOT NULL"), "id", limit)
     lines = F.slice(F.filter(F.split("text", "\n"), lambda x: ~x.rlike("[0-9@]") & (F.length(x) > 0)), 1, CARRIER_LINES)
-    rows = chosen.select("id", lines.alias("lines")).orderBy(F.xxhash64("id"), "id", "lines").limit(limit).collect()
-    return tuple(x[:400] for r in rows for x in r["lines"])
+    rows = chosen.select("id", F.transform(lines, lambda x: F.substring(x, 1, 400)).alias("lines")).collect()
+    return tuple(x for r in sorted(rows, key=lambda r: (r["id"], r["lines"] or [])) for x in r["lines"] or [])
 
 
 def find(docs: DataFrame, model: Tagger, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -378,7 +378,7 @@ def find(docs: DataFrame, model: Tagger, id_col: str = "doc_id", text_col: str =
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["doc_id", "start", "end", "kind", "value"])
 
-    return spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, "doc_id long, start long, end long, kind string, value string")
+    return spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(tidy(run), "doc_id long, start long, end long, kind string, value string")
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
