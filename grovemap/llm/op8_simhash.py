@@ -131,14 +131,15 @@ def bands(n: int, radius: int = RADIUS, recall: float = RECALL, bucket: int = BU
 
 
 def forest(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """label with each component of the pairs (a, b) set to its least label."""
+    """label, which names the root of each component, after the pairs (a, b) joined components; a root is the least member."""
     while len(a):
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        rest = label[a] != label[b]
+        a, b = label[a], label[b]
+        rest = a != b
         a, b = a[rest], b[rest]
+        # only roots move, so that all members of a component come along
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(label, up := label[label]):
+            label = up
     return label
 
 
@@ -196,8 +197,6 @@ def compare(rows: DataFrame, radius: int, every: bool) -> DataFrame:
             nonlocal label
             if a:
                 label = forest(np.concatenate(a), np.concatenate(b), label)
-                while not np.array_equal(label, label[label]):
-                    label = label[label]
                 a.clear()
                 b.clear()
 

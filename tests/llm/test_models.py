@@ -171,6 +171,49 @@ def test_components(spark):
     assert got == {i: find(i) for i in range(200) if find(i) != i}
 
 
+def least_members(n, pairs):
+    """The least member of each one's component."""
+    label = list(range(n))
+    while True:
+        now = list(label)
+        for a, b in pairs:
+            now[a] = now[b] = min(now[a], now[b])
+        if now == label:
+            return label
+        label = now
+
+
+def test_forest_against_brute_force():
+    assert op8.forest(np.array([1, 2, 0]), np.array([2, 3, 3]), np.arange(4)).tolist() == [0, 0, 0, 0]
+    rng = np.random.default_rng(3)
+    for _ in range(100):
+        n = int(rng.integers(2, 120))
+        pairs = rng.integers(0, n, (int(rng.integers(1, 2 * n)), 2))
+        label = np.arange(n)
+        for part in np.array_split(pairs, rng.integers(1, 6)):
+            label = op8.forest(part[:, 0], part[:, 1], label)
+        assert label.tolist() == least_members(n, pairs.tolist())
+
+
+@pytest.mark.parametrize("large", [1, 70, 300, op8.LARGE_BUCKET])
+def test_compared_buckets_keep_their_components(spark, monkeypatch, large):
+    rng = np.random.default_rng(8)
+    bits = rng.integers(0, 2, (6, 128), dtype=np.uint8)
+    for _ in range(594):
+        # a copy of any earlier one, so that groups are long chains
+        near = bits[rng.integers(0, len(bits))].copy()
+        near[rng.permutation(128)[: rng.integers(2, 9)]] ^= 1
+        bits = np.vstack([bits, near])
+    names = rng.permutation(len(bits))
+    prints = np.packbits(bits, axis=1).view(np.int64)
+    rows = spark.createDataFrame([(i % 2, int(names[i]), *prints[i].tolist()) for i in range(len(bits))], "key long, id long, hi long, lo long").coalesce(1)
+    pairs = [(int(names[i]), int(names[j])) for i in range(len(bits)) for j in np.flatnonzero((bits[i] != bits[i + 1 :]).sum(axis=1) <= 5) + i + 1 if (i - j) % 2 == 0]
+    monkeypatch.setattr(op8, "LARGE_BUCKET", large)
+    sent = [(r["a"], r["b"]) for r in op8.compare(rows, 5, False).collect()]
+    want = least_members(len(bits), pairs)
+    assert least_members(len(bits), sent) == want and len(set(want)) < len(bits) - 100
+
+
 def test_near_duplicates_messy(messy, nothing):
     out = op8.keep_one(messy)
     assert out.columns == messy.columns
