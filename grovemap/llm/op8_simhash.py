@@ -243,21 +243,35 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _distinct(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
+    """(id, hi, lo) of rows, and (node, hi, lo, id) of distinct fingerprints with their least id. Nodes ascend with id, so that fingerprints of one id are nodes of their own."""
     prints = cut(fingerprints(docs, id_col, text_col), "prints")
-    reps = cut(prints.groupBy("hi", "lo").agg(F.min("id").alias("id")).select("id", "hi", "lo"), "reps")
+    least = prints.groupBy("hi", "lo").agg(F.min("id").alias("id"))
+    reps = cut(least.orderBy("id", "hi", "lo").select(F.monotonically_increasing_id().alias("node"), "hi", "lo", "id"), "reps")
     return prints, reps, reps.count()
 
 
 def _buckets(reps: DataFrame, n: int, radius: int, recall: float) -> DataFrame:
     sets = bands(n, radius, recall)
     partitions = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * len(sets) // 500_000))
-    return bucket_rows(reps, sets).repartition(partitions, "key")
+    return bucket_rows(reps.select(F.col("node").alias("id"), "hi", "lo"), sets).repartition(partitions, "key")
 
 
 def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
     """(a, b, distance) of all pairs of distinct fingerprints found within the radius, each fingerprint named by the least id that has it."""
     _, reps, n = _distinct(docs, id_col, text_col)
-    return compare(_buckets(reps, n, radius, recall), radius, True)
+    found = compare(_buckets(reps, n, radius, recall), radius, True)
+    for end in ("a", "b"):
+        found = found.join(reps.select(F.col("node").alias(end), F.col("id").alias(f"{end}_id")), end).drop(end).withColumnRenamed(f"{end}_id", end)
+    return found.select("a", "b", "distance")
+
+
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
+    """(id, hi, lo, duplicate_of) of the rows that aren't the one that stays of their group: that of the least id, and of its texts in the group that of the least fingerprint."""
+    prints, reps, n = _distinct(docs, id_col, text_col)
+    roots = components(compare(_buckets(reps, n, radius, recall), radius, False))
+    named = roots.join(reps.select(F.col("node").alias("root"), F.col("id").alias("root_id")), "root").select(F.col("id").alias("node"), "root_id")
+    to_root = reps.join(named, "node", "left").select("hi", "lo", F.coalesce("root_id", "id").alias("duplicate_of"), F.isnull("root_id").alias("first"))
+    return prints.join(to_root, ["hi", "lo"]).filter("NOT first OR id != duplicate_of").select("id", "hi", "lo", "duplicate_of")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
@@ -266,25 +280,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A group is a connected component of the pairs within the radius. Equal
     fingerprints form a group whatever their number. Rows with a null id and
     texts without a word (null, empty, punctuation only) belong to no group.
-    Repeated rows of one id aren't paired with themselves. An empty table
-    gives no row; other columns are ignored.
+    Repeated rows of one id aren't paired with themselves; an id whose texts
+    are in several groups has a row for each. An empty table gives no row;
+    other columns are ignored.
     """
-    prints, reps, n = _distinct(docs, id_col, text_col)
-    roots = components(compare(_buckets(reps, n, radius, recall), radius, False))
-    to_root = reps.join(roots, "id", "left").select("hi", "lo", F.coalesce("root", "id").alias("duplicate_of"))
-    return prints.join(to_root, ["hi", "lo"]).filter("id != duplicate_of").groupBy(F.col("id").alias("doc_id")).agg(F.min("duplicate_of").alias("duplicate_of"))
+    return removed(docs, id_col, text_col, radius, recall).filter("id != duplicate_of").select(F.col("id").alias("doc_id"), "duplicate_of").distinct()
+
+
+def _print_of(texts: pd.Series) -> pd.DataFrame:
+    prints, ok = simhash(texts.tolist())
+    signed = prints.view(np.int64)
+    return pd.DataFrame({"hi": pd.arrays.IntegerArray(signed[:, 0].copy(), ~ok), "lo": pd.arrays.IntegerArray(signed[:, 1].copy(), ~ok)})
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without near duplicates: of each group the document of the least id stays, once even if its row is repeated. Rows with a null id stay."""
+def keep_one(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """docs without near duplicates: of each group the document of the least id stays. Rows of one id are told apart by their fingerprints, or texts where these have no word; those that are equal count once. Rows with a null id stay."""
     # written out, their sizes are known to the planner
-    gone = cut(near_duplicates(docs, **options).select(F.col("doc_id").alias("_gm_id")), "duplicates")
+    gone = cut(removed(docs, text_col=text_col, **options).select(F.col("id").alias("_gm_id"), F.col("hi").alias("_gm_hi"), F.col("lo").alias("_gm_lo")).distinct(), "duplicates")
     again = cut(docs.groupBy(F.col("doc_id").alias("_gm_id")).count().filter("`count` > 1 AND _gm_id IS NOT NULL").select("_gm_id"), "repeated")
-    left = docs.join(gone, docs["doc_id"] == gone["_gm_id"], "left_anti")
     if again.isEmpty():
-        return left
-    once = left.join(again, left["doc_id"] == again["_gm_id"], "left_anti")
-    return once.unionByName(left.join(again, left["doc_id"] == again["_gm_id"], "left_semi").dropDuplicates(["doc_id"]))
+        return docs.join(gone, docs["doc_id"] == gone["_gm_id"], "left_anti")
+    once = docs.join(again, docs["doc_id"] == again["_gm_id"], "left_anti")
+    once = once.join(gone, once["doc_id"] == gone["_gm_id"], "left_anti")
+    rows = docs.join(again, docs["doc_id"] == again["_gm_id"], "left_semi").withColumn("_gm_print", F.pandas_udf(_print_of, "hi long, lo long")(F.col(text_col).cast("string")))
+    left = rows.join(gone, (rows["doc_id"] == gone["_gm_id"]) & (rows["_gm_print.hi"] == gone["_gm_hi"]) & (rows["_gm_print.lo"] == gone["_gm_lo"]), "left_anti")
+    # of equal rows the least stays, as far as their columns have an order
+    same = Window.partitionBy("doc_id", "_gm_print.hi", "_gm_print.lo", F.when(F.isnull("_gm_print.hi"), F.col(text_col))).orderBy(text_col, *[c for c, kind in docs.dtypes if c != text_col and "map<" not in kind and "variant" not in kind])
+    return once.unionByName(left.withColumn("_gm_at", F.row_number().over(same)).filter("_gm_at = 1").drop("_gm_at", "_gm_print"))
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

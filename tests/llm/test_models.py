@@ -223,6 +223,20 @@ def test_near_duplicates_messy(messy, nothing):
     assert op8.near_duplicates(nothing).count() == 0 and op8.keep_one(nothing).count() == 0
 
 
+def test_rows_that_share_an_id_are_told_apart(spark):
+    rng = random.Random(9)
+    words = [f"word{i}" for i in range(3000)]
+    one, two, three, four = (" ".join(rng.sample(words, 200)) for _ in range(4))
+    near = lambda text: text + " tail"
+    rows = [(1, one), (5, near(one)), (5, two), (5, two), (7, near(two)), (9, three), (9, four), (9, ""), (9, None), (9, ""), (3, near(four)), (None, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("headers", F.create_map(F.lit("k"), F.lit("v")))
+    left = sorted(((r["doc_id"], r["text"]) for r in op8.keep_one(docs).collect()), key=str)
+    assert left == sorted([(1, one), (5, two), (9, three), (9, ""), (9, None), (3, near(four)), (None, one)], key=str)
+    assert sorted(map(tuple, op8.near_duplicates(docs).collect())) == [(5, 1), (7, 5), (9, 3)]
+    again = spark.createDataFrame([(1, one), (1, one + "."), (1, one.upper())], "doc_id long, text string")
+    assert [r["text"] for r in op8.keep_one(again).collect()] == [one.upper()]
+
+
 # --- 9
 
 
