@@ -155,8 +155,8 @@ def exact_matches(segment: Segment, rows: np.ndarray, item: Item) -> Iterator[tu
             run = [k, k]
 
 
-def proximity_matches(segment: Segment, rows: np.ndarray, item: Item) -> Iterator[tuple[int, int, int]]:
-    """(document, start, terms) of the best window in each document: `item.need` or more of the item's distinct terms within `item.window` tokens. Of equally good windows the first that starts with one of the terms counts.
+def proximity_matches(segment: Segment, rows: np.ndarray, item: Item, every: bool) -> Iterator[tuple[int, int, int]]:
+    """(document, start, terms) of the best window of each run, or without `every` of each document: `item.need` or more of the item's distinct terms within `item.window` tokens. Windows start with one of the terms; a run is a longest sequence of good ones without another start between them. Of equally good windows the first counts.
 
     A window may lack `miss` terms, so that of the miss + k rarest it holds k: anchors are places with k of them near.
     """
@@ -177,27 +177,32 @@ def proximity_matches(segment: Segment, rows: np.ndarray, item: Item) -> Iterato
     if not len(near):
         return
     # every good window holds k anchors that stand together, so that it starts less than a window before one of them
-    every = [segment.places(rows[t]) for t in item.rare if rows[t] >= 0]
+    places = [segment.places(rows[t]) for t in item.rare if rows[t] >= 0]
     spans: list[list[int]] = []
     for a in at[near].tolist():
         if spans and a - window < spans[-1][1]:
             spans[-1][1] = a + window
         else:
             spans.append([a - window + 1, a + window])
-    best: dict[int, tuple[int, int]] = {}
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    run = 0
     for lo, hi in spans:
-        inside = [p[np.searchsorted(p, lo) : np.searchsorted(p, hi)] for p in every]
+        inside = [p[np.searchsorted(p, lo) : np.searchsorted(p, hi)] for p in places]
         if sum(map(bool, map(len, inside))) < item.need:
             continue
         starts = np.unique(np.concatenate(inside))
         held = sum(((np.searchsorted(p, starts + window) - np.searchsorted(p, starts)) > 0).astype(int) for p in inside if len(p))
+        # a run never reaches into the next span: the terms that a good window holds after its start are in its own
+        run += 1
         for s, h in zip(starts.tolist(), held.tolist()):
-            if h >= item.need:
-                doc = int(segment.document(np.array([s]))[0])
-                now = best.get(doc)
-                if now is None or (-h, s) < (-now[0], now[1]):
-                    best[doc] = (h, s)
-    for doc, (h, s) in best.items():
+            if h < item.need:
+                run += 1
+                continue
+            group = int(segment.document(np.array([s]))[0]), run * every
+            now = best.get(group)
+            if now is None or (-h, s) < (-now[0], now[1]):
+                best[group] = (h, s)
+    for (doc, _), (h, s) in best.items():
         yield doc, int(s - segment.starts[doc]), h
 
 
@@ -253,14 +258,15 @@ def term_counts(stored: DataFrame, wanted: np.ndarray) -> np.ndarray:
     return out
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:
     """(doc_id, item_id, match, doc_start, item_start, n_tokens): exact runs and proximity windows of benchmark items in documents.
 
     match 'exact': n_tokens tokens from doc_start on equal those of the item
     from item_start on; runs are maximal and have PHRASE tokens, or the whole
     item if that is shorter (items under SHORTEST tokens are left out). match
-    'proximity': the best window of each document and item; n_tokens is the
-    number of the item's distinct terms in it and item_start null. Words are
+    'proximity': the best window of each document and item, or with `every` of
+    each maximal run of good windows; n_tokens is the number of the item's
+    distinct terms in it and item_start null. Words are
     compared in lower case, without punctuation. Rows with a null id, null or
     empty texts and items match nothing; repeated rows give one result; other
     columns are ignored.
@@ -275,12 +281,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     found = None
     for block in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
-        now = _search(spark, stored, [(r["item"], terms_of(r["text"])) for r in part])
+        now = _search(spark, stored, [(r["item"], terms_of(r["text"])) for r in part], every)
         found = now if found is None else found.unionByName(now)
     return found.distinct()
 
 
-def _search(spark: SparkSession, stored: DataFrame, part: list[tuple[int, list[int]]]) -> DataFrame:
+def _search(spark: SparkSession, stored: DataFrame, part: list[tuple[int, list[int]]], every: bool) -> DataFrame:
     part = [(i, t) for i, t in part if len(t) >= SHORTEST]
     wanted = np.array(sorted({t for _, terms in part for t in terms}), np.uint64)
     number = {t: k for k, t in enumerate(wanted.tolist())}
@@ -298,7 +304,7 @@ def _search(spark: SparkSession, stored: DataFrame, part: list[tuple[int, list[i
                 for item in items:
                     for doc, start, item_start, n in exact_matches(segment, rows, item):
                         out.append((int(segment.ids[doc]), item.id, "exact", start, item_start, n))
-                    for doc, start, n in proximity_matches(segment, rows, item):
+                    for doc, start, n in proximity_matches(segment, rows, item, every):
                         out.append((int(segment.ids[doc]), item.id, "proximity", start, None, n))
                 if out:
                     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
@@ -322,4 +328,4 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), every=True)

@@ -122,6 +122,34 @@ def test_decontamination_messy(spark, messy, nothing):
     assert op7.clean_documents(messy, bench.limit(0)).count() == messy.count()
 
 
+def test_every_run_of_windows_against_brute_force(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(40)]
+    items = [(k, " ".join(rng.sample(words, rng.choice([9, 14, 20])))) for k in range(8)]
+    docs = []
+    for i in range(30):
+        parts: list[str] = []
+        for _ in range(rng.randrange(1, 5)):
+            item = rng.choice(items[:2])[1].split()
+            rng.shuffle(item)
+            parts += item + rng.choices([*words[:5], "other", "more"], k=rng.randrange(0, 30))
+        docs.append((i, " ".join(parts)))
+    want = set()
+    for (i, text), (k, item) in itertools.product(docs, items):
+        d, b = text.split(), item.split()
+        need, window, best = int(np.ceil(op7.SHARE * len(b))), int(np.ceil(op7.SLACK * len(b))), None
+        for p in [*(p for p, w in enumerate(d) if w in b), len(d)]:
+            held = len(set(b) & set(d[p : p + window]))
+            if held >= need:
+                best = max(best or (0, 0), (held, -p))
+            elif best:
+                want.add((i, k, -best[1], best[0]))
+                best = None
+    found = op7.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), every=True)
+    assert {(r["doc_id"], r["item_id"], r["doc_start"], r["n_tokens"]) for r in found.filter("match = 'proximity'").collect()} == want
+    assert len({r[:2] for r in want}) < len(want)
+
+
 # --- 8
 
 
