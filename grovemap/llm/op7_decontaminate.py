@@ -26,7 +26,7 @@ from grovemap.llm.common import WORD, chunks, cut, spread, table, tidy
 
 #: Tokens of a phrase; shorter items of at least SHORTEST tokens are one phrase.
 PHRASE = 8
-SHORTEST = 4
+SHORTEST = 1
 #: A proximity window is this much longer than the item, and holds this share of its distinct terms.
 SLACK = 1.25
 SHARE = 0.8
@@ -34,6 +34,8 @@ SHARE = 0.8
 LEAST_TERMS = 8
 #: Longest exact run, in tokens, that counts as chance when documents are removed.
 CHANCE_RUN = 12
+#: Longest item, in tokens, that counts as chance when documents are removed.
+CHANCE_ITEM = 3
 #: Benchmark items looked up in one pass over the index; more take more passes.
 ITEMS_PER_PASS = 20_000
 #: Characters of documents in an index segment.
@@ -258,12 +260,12 @@ def term_counts(stored: DataFrame, wanted: np.ndarray) -> np.ndarray:
     return out
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: bool = False, shortest: int = SHORTEST) -> DataFrame:
     """(doc_id, item_id, match, doc_start, item_start, n_tokens): exact runs and proximity windows of benchmark items in documents.
 
     match 'exact': n_tokens tokens from doc_start on equal those of the item
     from item_start on; runs are maximal and have PHRASE tokens, or the whole
-    item if that is shorter (items under SHORTEST tokens are left out). match
+    item if that is shorter (items under `shortest` tokens are left out). match
     'proximity': the best window of each document and item, or with `every` of
     each maximal run of good windows; n_tokens is the number of the item's
     distinct terms in it and item_start null. Words are
@@ -281,13 +283,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     found = None
     for block in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
-        now = _search(spark, stored, [(r["item"], terms_of(r["text"])) for r in part], every)
+        now = _search(spark, stored, [(r["item"], t) for r in part if len(t := terms_of(r["text"])) >= shortest], every)
         found = now if found is None else found.unionByName(now)
     return found.distinct()
 
 
 def _search(spark: SparkSession, stored: DataFrame, part: list[tuple[int, list[int]]], every: bool) -> DataFrame:
-    part = [(i, t) for i, t in part if len(t) >= SHORTEST]
     wanted = np.array(sorted({t for _, terms in part for t in terms}), np.uint64)
     number = {t: k for k, t in enumerate(wanted.tolist())}
     frequency = term_counts(stored, wanted)
@@ -314,8 +315,8 @@ def _search(spark: SparkSession, stored: DataFrame, part: list[tuple[int, list[i
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, chance_run: int = CHANCE_RUN) -> DataFrame:
-    """_gm_id of the documents with a proximity match, or an exact run of more than chance_run tokens or of at least SHARE of an item."""
-    found = matches(docs, benchmark)
+    """_gm_id of the documents with a proximity match, or an exact run of more than chance_run tokens or of at least SHARE of an item of more than CHANCE_ITEM tokens."""
+    found = matches(docs, benchmark, shortest=CHANCE_ITEM + 1)
     sizes = benchmark.groupBy(F.col("item_id").cast("long").alias("_gm_item")).agg(F.max(F.size(F.expr(r"regexp_extract_all(text, '[\\p{L}\\p{N}_]+', 0)"))).alias("_gm_size"))
     return found.join(sizes, found["item_id"] == sizes["_gm_item"]).filter((F.col("match") == "proximity") | (F.col("n_tokens") > chance_run) | (F.col("n_tokens") >= SHARE * F.col("_gm_size"))).select(F.col("doc_id").alias("_gm_id")).distinct()
 

@@ -150,6 +150,14 @@ def test_every_run_of_windows_against_brute_force(spark):
     assert len({r[:2] for r in want}) < len(want)
 
 
+def test_short_items_are_found_but_remove_nothing(spark):
+    docs = spark.createDataFrame([(1, "Now: alpha beta, gamma. Alpha!"), (2, "beta gamma alpha"), (3, "one two three four five")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "Alpha Beta Gamma"), (2, "gamma alpha"), (3, "alpha"), (4, "!")], "item_id long, text string")
+    assert sorted(map(tuple, op7.matches(docs, bench).drop("match", "item_start").collect())) == [(1, 1, 1, 3), (1, 2, 3, 2), (1, 3, 1, 1), (1, 3, 4, 1), (2, 2, 1, 2), (2, 3, 2, 1)]
+    assert op7.clean_documents(docs, bench).count() == 3
+    assert op7.clean_documents(docs, spark.createDataFrame([(1, "two three four five")], "item_id long, text string")).count() == 2
+
+
 # --- 8
 
 
