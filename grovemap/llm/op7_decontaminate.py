@@ -55,6 +55,12 @@ def _unshuffled(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of each text, counted as the index counts them."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([len(terms_of(t)) for t in batch.column(0).to_pylist()], pa.int64())], ["n"])
+
+
 def build_segment(ids: np.ndarray, texts: list[str | None], gap: int) -> tuple[bytes, ...] | None:
     tokens = [WORD.findall(t.lower()) if t else [] for t in texts]
     n = np.fromiter(map(len, tokens), np.int64, len(tokens))
@@ -278,7 +284,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     # one block of items at a time reaches the driver and the executors, however many there are
     number = items.count()
     blocks = max(1, -(-number // ITEMS_PER_PASS))
-    longest = items.agg(F.max(F.size(F.split("text", r"\W+")))).first()[0] or 1
+    longest = items.select("text").mapInArrow(_sizes, "n long").agg(F.max("n")).first()[0] or 1
     stored = cut(index(docs, math.ceil(SLACK * longest) + PHRASE + 2, id_col, text_col), "index")
     found = None
     for block in range(blocks):

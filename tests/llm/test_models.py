@@ -158,6 +158,16 @@ def test_short_items_are_found_but_remove_nothing(spark):
     assert op7.clean_documents(docs, spark.createDataFrame([(1, "two three four five")], "item_id long, text string")).count() == 2
 
 
+def test_windows_stay_inside_a_document_in_any_script(spark):
+    words = ["".join(chr(0x430 + int(c)) for c in str(1000 + i)) for i in range(100)]
+    halves = [" ".join(words[:50]), " ".join(words[50:])]
+    docs = spark.createDataFrame([(i, halves[i % 2]) for i in range(20)], "doc_id long, text string").repartition(1)
+    bench = spark.createDataFrame([(1, " ".join(words[::-1]))], "item_id long, text string")
+    assert op7.matches(docs, bench).count() == 0
+    whole = spark.createDataFrame([(1, " ".join(halves))], "doc_id long, text string")
+    assert [(r["match"], r["n_tokens"]) for r in op7.matches(whole, bench).collect()] == [("proximity", 100)]
+
+
 # --- 8
 
 
