@@ -19,6 +19,10 @@ EQUIVALENT = [
 ]
 _OTHER = r"[^\p{L}\p{N}\n]+"
 _COPYRIGHT = r"(?m)^[ \t#*/;.-]*(copyright|\(c\))[ \t]+(\(c\)[ \t]*)?[0-9][^\n]*$|^[ \t#*/;.-]*all rights reserved[. \t]*$"
+#: Also lines of a holder without a year, or with the year after the name.
+_HOLDER = _COPYRIGHT + r"|^[ \t#*/;.-]*copyright[ \t]*\(c\)[^\n]*$|^[ \t#*/;.-]*copyright[ \t]+(?!notice|holder)[^\n]{1,120}?[ \t,]+(19|20)[0-9]{2}([ \t,-]+((19|20)?[0-9]{2}|present))*[ \t.,;]*(all rights reserved[ \t.]*)?$"
+#: In texts that don't number their clauses by letters, lines that begin with the sign alone.
+_SIGN = _HOLDER + r"|^[ \t#*/;.-]*\(c\)[ \t]+[^\n]*$"
 
 _GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n"
 _AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
@@ -48,7 +52,8 @@ def canonical(text: Column) -> Column:
     t = F.lower(text)
     for old, new in EQUIVALENT:
         t = F.replace(t, F.lit(old), F.lit(new))
-    return F.regexp_replace(F.regexp_replace(t, _COPYRIGHT, ""), _OTHER, " ")
+    t = F.when(t.contains("(a)") | t.contains("(b)"), F.regexp_replace(t, _HOLDER, "")).otherwise(F.regexp_replace(t, _SIGN, ""))
+    return F.regexp_replace(t, _OTHER, " ")
 
 
 def _flat(text: Column) -> Column:

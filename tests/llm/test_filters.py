@@ -144,6 +144,18 @@ def test_licences_messy(spark, messy, nothing):
     assert op3.scan(nothing, known).count() == 0
 
 
+def test_copyright_lines_without_a_year_in_front(spark):
+    known = op3.known_digests(spark)
+    mit, bsd = (next(t for name, t in op3.KNOWN if name == x) for x in ("MIT", "BSD-3-Clause"))
+    heads = ["Copyright (c) Microsoft Corporation.", "Copyright (c) The Authors", "Copyright Jane Doe 2020", " * Copyright Jane Doe, 2018-2020. All rights reserved.", "© Some Company", "(c) Jane Doe 2020"]
+    rows = [(i, f"{head}\n\n{text}") for i, (head, text) in enumerate((h, t) for t in (mit, bsd) for h in heads)]
+    got = {r["doc_id"]: r["licence"] for r in op3.scan(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()}
+    assert [got[i] for i, _ in rows] == ["MIT"] * len(heads) + ["BSD-3-Clause"] * len(heads)
+    stay = ["copyright notice, this list of conditions", "copyright holders and contributors as is", "copyright notice of 2020", "copyright holder of 2020", "(a) one\n(b) two\n(c) three"]
+    kept = spark.createDataFrame([(i, "before\n" + x) for i, x in enumerate(stay)], "i int, text string").select("i", op3.canonical(F.col("text")).alias("t")).orderBy("i").collect()
+    assert [r["t"].replace(" ", "") for r in kept] == ["before\n" + "".join(c for c in x if c.isalnum() or c == "\n") for x in stay]
+
+
 # --- 4
 
 
