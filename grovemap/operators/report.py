@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grovemap.functions.exprs import clamp, scaled
-from grovemap.operators import centrality, quality, risk
+from grovemap.operators import centrality, community, quality, risk
 from grovemap.operators.graph import Graph, degrees, with_degrees
 
 #: Measures by name, each from a graph to (ix, value columns). More can be registered.
@@ -63,7 +63,7 @@ def composites(g: Graph) -> DataFrame:
 
 
 def summary_v1(g: Graph, communities: DataFrame | None = None) -> DataFrame:
-    """One row: nodes, edges, mean cyclomatic complexity, nodes of risk above 0.7, cycles, and communities if given."""
+    """One row: nodes, edges, mean cyclomatic complexity, nodes of risk above 0.7, cycles, and communities with their modularity if given."""
     parts = [
         g.nodes.agg(F.count(F.lit(1)).alias("total_nodes")), g.edges.agg(F.count(F.lit(1)).alias("total_edges")),
         quality.cyclomatic_v1(g).agg(F.coalesce(F.avg("cyclomatic"), F.lit(0.0)).alias("avg_complexity")),
@@ -71,6 +71,7 @@ def summary_v1(g: Graph, communities: DataFrame | None = None) -> DataFrame:
     ]
     if communities is not None:
         parts.append(communities.agg(F.countDistinct("community").alias("num_communities")))
+        parts.append(community.modularity_v1(g, communities))
     out = parts[0]
     for p in parts[1:]:
         out = out.crossJoin(p)
@@ -83,7 +84,8 @@ def summary_v2(g: Graph) -> DataFrame:
     q = quality.complexity_v2(g).agg(F.coalesce(F.avg("cyclomatic"), zero).alias("avg_complexity"))
     c = quality.cohesion_v2(g).agg(F.coalesce(F.avg("cohesion"), zero).alias("avg_cohesion"))
     s = quality.smells(g).agg(F.count(F.lit(1)).alias("total_smells"))
-    return r.crossJoin(q).crossJoin(c).crossJoin(s)
+    k = risk.cycles(g).agg(F.count(F.lit(1)).alias("total_circular_deps"))
+    return r.crossJoin(k).crossJoin(q).crossJoin(c).crossJoin(s)
 
 
 def client_metrics(g: Graph, communities: DataFrame | None = None, extra: DataFrame | None = None) -> DataFrame:

@@ -93,6 +93,15 @@ def test_edge_rules(spark):
     assert (summary["total_nodes"], summary["total_edges"], summary["circular_dependencies"]) == (0, 0, 0)
 
 
+def test_summaries_count_cycles_and_weigh_communities(spark):
+    g = graphs.plain(spark, 5, [(0, 1), (1, 2), (2, 0), (3, 4), (4, 3), (2, 3)])
+    parts = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (3, 3), (4, 3)], "ix long, community long")
+    first, second = report.summary_v1(g, parts).first(), report.summary_v2(g).first()
+    assert (first["num_communities"], first["modularity"]) == (2, pytest.approx(community.modularity_v1(g, parts).first()[0]))
+    assert "modularity" not in report.summary_v1(g).columns
+    assert second["total_circular_deps"] == first["circular_dependencies"] == 2
+
+
 def test_odd_weights_leave_ranks_finite(spark):
     nodes = [(f"n{i}", "file", 1, None) for i in range(3)]
     for w in (float("nan"), float("inf"), -3.0):
