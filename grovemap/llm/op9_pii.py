@@ -21,13 +21,15 @@ from grovemap.llm.common import chunks, least_hashed, spread, table, tidy
 
 KINDS = ["", "email", "phone", "ip", "card", "secret"]
 HIDDEN = 12
-WINDOW, OVERLAP = 512, 64
+WINDOW, OVERLAP = 1024, 64
 #: Documents that lend lines to the training texts, taken in the order of a hash of their ids, and lines taken from each.
 CARRIER_DOCS = 400
 CARRIER_LINES = 8
 STEPS, BATCH, LENGTH = 900, 96, 96
 _BATCH_WINDOWS = 1024
 _TOP = 0x300
+#: The bits of 1.0 as a number, half of those that a factor of e adds, and how far from 1.0 they may go.
+_ZERO, _SCALE, _FURTHEST = 127 << 23, 2**22 / np.log(2), 120 << 23
 Spans = list[tuple[int, int, int]]
 
 
@@ -199,56 +201,92 @@ class Tagger:
         self._back(both_ways, kept, np.stack([share @ self.p["wf"].T, (share @ self.p["wb"].T)[::-1]], axis=1), grads)
         return (z.sum() - gold) / n, grads
 
-    # decoding of windows of any length, with features first so that each gate is one block of memory
+    # decoding of windows of any length; each gate of all windows is one block of memory
 
     def emissions(self, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Emissions (step, tag, window) of windows sorted by falling size; what stands beyond a window's end has no meaning."""
-        h, n_all, steps = HIDDEN, len(starts), int(sizes[0])
-        e = np.zeros((steps, len(KINDS), n_all), np.float32)
+        """Emissions (step, window, tag) of windows sorted by falling size; what stands beyond a window's end has no meaning.
+
+        A sigmoid is e(z / 2) / (e(z / 2) + e(-z / 2)), with e linear between
+        powers of two: float bits read as an integer are such a logarithm. Its
+        error is below 0.003.
+        """
+        h, k, n_all, steps = HIDDEN, len(KINDS), len(starts), int(sizes[0])
+        e = np.zeros((steps, n_all, k), np.float32)
         active = np.searchsorted(-sizes, -np.arange(1, steps + 1), "right").tolist()
         at = [ids[starts[:n] + t] for t, n in enumerate(active)]
-        one, half = np.float32(1), np.float32(0.5)
-        full = [np.empty((4 * h, n_all), np.float32), np.empty((4 * h, n_all), np.float32), np.empty((h, n_all), np.float32)]
+        gate, both = np.arange(0, 4 * SYMBOLS, SYMBOLS)[:, None], np.int32(2 * _ZERO)
+        one, two, zero, scale = np.float32(1), np.float32(2), np.float32(_ZERO), np.float32(2 * _SCALE)
+        # beyond 20 a hyperbolic tangent is 1; whole arrays, as these are compared faster than numbers
+        above = np.full((n_all, h), 20, np.float32)
+        below = -above
+        floats = [np.empty(m * n_all * h, np.float32) for m in (4, 5, 1)]
+        whole = [np.empty(4 * n_all * h, np.int32) for _ in range(2)]
+        row = np.empty(4 * n_all, np.intp)
         for d in "fb":
-            # gates are left doubled: the halves are in the weights behind them
-            x, u, w = np.ascontiguousarray(self.p["x" + d].T), np.ascontiguousarray(self.p["u" + d].T * half), np.ascontiguousarray(self.p["w" + d].T * half)
-            hid_all, cell_all = np.zeros((h, n_all), np.float32), np.zeros((h, n_all), np.float32)
-            last = None
+            # gates are sigmoids of twice their input, the candidate is a hyperbolic tangent, which is 2 sigmoid(2 z) - 1; their scale and the bits of 1.0 are in the weights
+            x = self.p["x" + d].reshape(SYMBOLS, 4, h).transpose(1, 0, 2) * (2 * _SCALE) + _ZERO
+            u = np.zeros((5, h, h), np.float32)
+            u[:4] = self.p["u" + d].reshape(h, 4, h).transpose(1, 0, 2) * (2 * _SCALE)
+            u[4, :, :k] = self.p["w" + d]
+            # hidden units are within -1 and 1
+            far = (np.abs(x - _ZERO).max(axis=1) + np.abs(u[:4]).sum(axis=1)).max() >= _FURTHEST
+            x = np.ascontiguousarray(x.reshape(-1, h), np.float32)
+            hid_all, cell_all = np.zeros((n_all, h), np.float32), np.zeros((n_all, h), np.float32)
+            last = before = None
             for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
                 n = active[t]
                 if n != last:
                     last = n
-                    hid, cell = hid_all[:, :n], cell_all[:, :n]
-                    a, b, c = (np.ndarray((len(y), n), np.float32, y) for y in full)
-                np.take(x, at[t], axis=1, out=a, mode="clip")
-                a += np.matmul(u, hid, out=b)
-                np.tanh(a, out=a)
-                a[: 3 * h] += one
-                cell *= a[h : 2 * h]
-                np.multiply(a[:h], a[3 * h :], out=c)
+                    hid, cell, rows = hid_all[:n], cell_all[:n], row[: 4 * n].reshape(4, n)
+                    a, b, c = (y[: m * n * h].reshape(m, n, h) for y, m in zip(floats, (4, 5, 1)))
+                    i, j = (y[: 4 * n * h].reshape(4, n, h) for y in whole)
+                    up, down, c, b4, b5 = i.view(np.float32), j.view(np.float32), c[0], b[:4], b[4, :, :k]
+                x.take(np.add(at[t], gate, out=rows), axis=0, out=a, mode="clip")
+                np.matmul(hid, u, out=b)
+                # the step before, whose hidden units these are
+                if before is not None:
+                    m = min(n, active[before])
+                    e[before, :m] += b5[:m]
+                a += b4
+                if far:
+                    np.clip(a, zero - np.float32(_FURTHEST), zero + np.float32(_FURTHEST), out=a)
+                np.copyto(i, a, casting="unsafe")
+                np.subtract(both, i, out=j)
+                down += up
+                np.divide(up, down, out=a)
+                cell *= a[1]
+                a[3] *= two
+                a[3] -= one
+                np.multiply(a[0], a[3], out=c)
                 cell += c
-                cell *= half
-                np.tanh(cell, out=hid)
-                hid *= a[2 * h : 3 * h]
-                e[t, :, :n] += w @ hid
-        e += self.p["bias"][:, None]
+                np.minimum(cell, above[:n], out=c)
+                np.maximum(c, below[:n], out=c)
+                c *= scale
+                c += zero
+                np.copyto(i[0], c, casting="unsafe")
+                np.subtract(both, i[0], out=j[0])
+                down[0] += up[0]
+                np.divide(up[0], down[0], out=hid)
+                hid *= two
+                hid -= one
+                hid *= a[2]
+                before = t
+            e[sizes - 1 if d == "f" else 0, np.arange(n_all)] += hid_all @ u[4, :, :k]
+        e += self.p["bias"]
         return e
 
     def decode(self, e: np.ndarray, sizes: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """(window, its best tags) of windows whose best path isn't all 0.
 
-        Windows in which no tag can pay, even with the dearest transitions in
-        its favour, are known to be all 0 without the search.
+        Windows in which no run of tags can pay, even with the dearest
+        transitions in its favour, are known to be all 0 without the search.
         """
-        move = self.p["move"]
-        into = np.maximum(move.max(axis=0) - move[0, 0], 0) + np.maximum(move[:, 0] - move[0, 0], 0).max()
-        pays = (e[:, 1:] + into[1:, None]).max(axis=1) >= e[:, 0]
-        pays &= np.arange(len(e))[:, None] < sizes
-        some = np.flatnonzero(pays.any(axis=0))
+        some = np.flatnonzero(self._gains(e, sizes) > -1e-3)
         out = []
         if not len(some):
             return out
-        e, sizes = np.ascontiguousarray(e[: sizes[some[0]]][:, :, some]), sizes[some]
+        move = self.p["move"]
+        e, sizes = np.ascontiguousarray(e[: sizes[some[0]], some].transpose(0, 2, 1)), sizes[some]
         score, back = e[0].copy(), np.zeros((len(e), len(KINDS), len(some)), np.uint8)
         active = np.searchsorted(-sizes, -np.arange(1, len(e) + 1), "right").tolist()
         for t in range(1, len(e)):
@@ -267,6 +305,26 @@ class Tagger:
             out.append((int(some[k]), tags[: sizes[k], k]))
         return out
 
+    def _gains(self, e: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """For each window at least the most by which a run of tags, one for each of its steps, scores above 0 there: the greatest sum over a run, with the dearest transition into each tag."""
+        move = self.p["move"] - self.p["move"][0, 0]
+        into, out = move[1:].max(axis=0), float(move[1:, 0].max())
+        enter, begin = float((move[0] - into)[1:].max()), float(-into[1:].min())
+        gain = e[:, :, 1] + into[1]
+        for k in range(2, len(KINDS)):
+            np.maximum(gain, e[:, :, k] + into[k], out=gain)
+        gain -= e[:, :, 0]
+        active = np.searchsorted(-sizes, -np.arange(1, len(e) + 2), "right").tolist()
+        run, best = np.full(e.shape[1], begin, np.float32), np.full(e.shape[1], -np.inf, np.float32)
+        for t in range(len(e)):
+            n, after = active[t], active[t + 1]
+            if t:
+                np.maximum(run[:n], enter, out=run[:n])
+            run[:n] += gain[t, :n]
+            np.maximum(best[:after], run[:after] + out, out=best[:after])
+            np.maximum(best[after:n], run[after:n], out=best[after:n])
+        return best
+
     def spans(self, texts: list[str | None]) -> list[Spans]:
         """Spans of each text, in order and disjoint."""
         out: list[Spans] = [[] for _ in texts]
