@@ -21,12 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="grovemap-"))
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: later plans start from files instead of recomputing. Removed when the driver's JVM ends."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, removed when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/grovemap/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read back: later plans start from files instead of recomputing. Removed when the driver's JVM ends."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

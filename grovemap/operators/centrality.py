@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grovemap.cluster import cut
 from grovemap.functions.exprs import clamp, ratio
 from grovemap.operators.graph import Graph, degrees
-from grovemap.operators.primitives import all_distances, distances
+from grovemap.operators.primitives import all_distances, distances, in_one_task, is_small, place_of
 
 #: Rounds of a loop between two cuts of its lineage.
 CUT_EVERY = 6
@@ -38,23 +39,39 @@ def pagerank(g: Graph, rounds: int = 30, damping: float = 0.85, tolerance: float
     it all rounds are made. Edges carry their share, so that a round is one
     join and one aggregation, both on the same key.
     """
-    n = g.nodes.count()
-    if not n:
-        return g.nodes.selectExpr("ix", "0d AS pagerank").limit(0)
     outs = g.edges.groupBy("src").agg(F.count(F.lit(1)).alias("outs"))
     # parallel edges fold into one with their number
     shares = cut(g.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("many")).join(outs, "src").select("src", "dst", (F.col("many") / F.col("outs")).alias("share")), "shares")
+    rank = cut(g.nodes.select("ix"), "rank")
+    n = rank.count()
+    if not n:
+        return g.nodes.selectExpr("ix", "0d AS pagerank").limit(0)
     base = (1 - damping) / n
-    rank = cut(g.nodes.select("ix", F.lit(1.0 / n).alias("r")), "rank")
+    if is_small(shares, rank):
+
+        def solve(ix, src, dst, share):
+            r = np.full(len(ix), 1.0 / len(ix))
+            for _ in range(rounds):
+                new = base + damping * np.bincount(dst, r[src] * share, len(ix))
+                new = new if tolerance is None else np.clip(new, 0.0, 1.0)
+                moved, r = np.abs(new - r).max(), new
+                if tolerance is not None and moved < tolerance:
+                    break
+            return {"ix": ix, "pagerank": r}
+
+        return in_one_task(rank, shares.withColumnRenamed("share", "w"), solve, "ix long, pagerank double")
+    rank = rank.withColumn("r", F.lit(1.0 / n))
+    every = rank.select("ix")
     for i in range(1, rounds + 1):
         got = rank.selectExpr("ix AS rx", "r AS rr").join(shares, F.col("rx") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rr") * F.col("share")).alias("got"))
         new = F.lit(base) + F.lit(damping) * F.coalesce("got", F.lit(0.0))
-        step = rank.join(got, F.col("ix") == F.col("dst"), "left")
         if tolerance is None:
-            rank = step.select("ix", new.alias("r"))
+            # the list of nodes stands on the left, not the rank before, so that a round names it once
+            rank = every.join(got, F.col("ix") == F.col("dst"), "left").select("ix", new.alias("r"))
             if i % CUT_EVERY == 0 or i == rounds:
                 rank = cut(rank, "rank")
             continue
+        step = rank.join(got, F.col("ix") == F.col("dst"), "left")
         done = cut(step.select("ix", clamp(new).alias("r"), F.abs(clamp(new) - F.col("r")).alias("moved")), "rank")
         rank = done.select("ix", "r")
         if done.agg(F.max("moved")).first()[0] < tolerance:
@@ -65,21 +82,13 @@ def pagerank(g: Graph, rounds: int = 30, damping: float = 0.85, tolerance: float
 def _sampled(g: Graph, count: int, above: int) -> tuple[DataFrame, int, int]:
     """Sources (s), their number and n: all nodes up to `above`, beyond that `count` of them at equal steps of ix order."""
     n = g.nodes.count()
-    order = g.nodes.select("ix", (F.row_number().over(Window.orderBy("ix")) - 1).alias("at")) if n <= 1_000_000 else _ordinal(g.nodes)
     if n <= above:
-        return order.selectExpr("ix AS s"), n, n
+        return g.nodes.selectExpr("ix AS s"), n, n
     step = max(1, n // count)
+    order = place_of(g.nodes.select("ix"), "ix")
     return order.filter((F.col("at") % step == 0) & (F.col("at") / step < count)).selectExpr("ix AS s"), count, n
 
 
-def _ordinal(nodes: DataFrame) -> DataFrame:
-    """(ix, at): place of each ix in their order, from totals of ranges; for node tables too large for one sort."""
-    width = 1_000_000
-    marked = nodes.select("ix", F.floor(F.col("ix") / width).alias("block"))
-    before = marked.groupBy("block").agg(F.count(F.lit(1)).alias("c")).select("block", F.coalesce(F.sum("c").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))
-    return marked.join(before, "block").select("ix", (F.col("b") + F.row_number().over(Window.partitionBy("block").orderBy("ix")) - 1).alias("at"))
-
-
 def betweenness_v1(g: Graph, samples: int = 50, above: int = 100) -> DataFrame:
     """(ix, betweenness): reach-based. Up to `above` nodes: the sum over other nodes s that reach the node of (reach of s - 1); beyond: the number of sampled sources that reach it, itself included. Over (n - 1)(n - 2); 0 if n <= 2."""
     sources, count, n = _sampled(g, samples, above)
@@ -87,6 +96,7 @@ def betweenness_v1(g: Graph, samples: int = 50, above: int = 100) -> DataFrame:
         return g.nodes.selectExpr("ix", "0d AS betweenness")
     pairs = distances(g.edges, sources)
     if n <= above:
+        pairs = cut(pairs, "pairs")
         reach = pairs.filter("s != t").groupBy("s").agg((F.count(F.lit(1)) - 1).alias("w"))
         score = pairs.filter("s != t").join(reach, "s").groupBy("t").agg(F.sum("w").alias("b"))
     else:
@@ -97,11 +107,11 @@ def betweenness_v1(g: Graph, samples: int = 50, above: int = 100) -> DataFrame:
 def betweenness_v2(g: Graph, samples: int = 1000, use_sampling: bool = True) -> DataFrame:
     """(ix, betweenness): for each source the number of nodes farther from it than the node, summed and divided by the largest sum."""
     sources, _, _ = _sampled(g, samples, samples if use_sampling else 2**62)
-    pairs = distances(g.edges, sources)
+    pairs = cut(distances(g.edges, sources), "pairs")
     # per source and distance first, so that the window sees a row for each level
     levels = pairs.groupBy("s", "d").agg(F.count(F.lit(1)).alias("c"))
     farther = levels.select("s", "d", F.coalesce(F.sum("c").over(Window.partitionBy("s").orderBy("d").rowsBetween(1, Window.unboundedFollowing)), F.lit(0)).alias("w"))
-    score = pairs.filter("s != t").join(farther, ["s", "d"]).groupBy("t").agg(F.sum("w").alias("b"))
+    score = cut(pairs.filter("s != t").join(farther, ["s", "d"]).groupBy("t").agg(F.sum("w").alias("b")), "between")
     top = score.agg(F.max("b").alias("top"))
     return g.nodes.select("ix").join(score, F.col("ix") == F.col("t"), "left").crossJoin(F.broadcast(top)).select("ix", ratio(F.coalesce("b", F.lit(0)), F.coalesce("top", F.lit(0))).alias("betweenness"))
 
@@ -121,14 +131,31 @@ def closeness(g: Graph, normalised: bool = False, pairs: DataFrame | None = None
 
 def eigenvector(g: Graph, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """(ix, eigenvector): power iteration over out-neighbours with the weight of the last of parallel edges; without edges between two nodes 1/n, and if the iteration breaks down half of the normalised degrees."""
-    n = g.nodes.count()
-    real = g.edges.filter("src != dst")
-    if n <= 1:
-        return g.nodes.selectExpr("ix", "1d AS eigenvector")
-    if real.isEmpty():
-        return g.nodes.select("ix", F.lit(1.0 / n).alias("eigenvector"))
     links = cut(g.edges.groupBy("src", "dst").agg(F.max_by("weight", "eix").alias("w")), "links")
-    x, before = cut(g.nodes.select("ix", F.lit(1.0 / n).alias("x")), "vector"), 0.0
+    every = cut(g.nodes.select("ix"), "nodes")
+    n = every.count()
+    if n <= 1:
+        return every.selectExpr("ix", "1d AS eigenvector")
+    if links.filter("src != dst").isEmpty():
+        return every.select("ix", F.lit(1.0 / n).alias("eigenvector"))
+    if is_small(links, every):
+
+        def solve(ix, src, dst, w):
+            x, before = np.full(len(ix), 1.0 / len(ix)), 0.0
+            for _ in range(rounds):
+                raw = np.bincount(src, w * x[dst], len(ix))
+                norm = float(np.sqrt((raw * raw).sum()))
+                if norm != norm or norm <= 1e-10:
+                    return {"ix": ix, "eigenvector": np.full(len(ix), np.nan)}
+                x = raw / norm
+                if abs(norm - before) < tolerance:
+                    break
+                before = norm
+            return {"ix": ix, "eigenvector": np.abs(x)}
+
+        found = cut(in_one_task(every, links, solve, "ix long, eigenvector double"), "vector")
+        return degree_v1(g).select("ix", F.col("degree").alias("eigenvector")) if found.filter("isnan(eigenvector)").head(1) else found
+    x, before = cut(every.select("ix", F.lit(1.0 / n).alias("x")), "vector"), 0.0
     for _ in range(rounds):
         got = x.selectExpr("ix AS vx", "x AS vv").join(links, F.col("vx") == F.col("dst")).groupBy("src").agg(F.sum(F.col("w") * F.col("vv")).alias("got"))
         raw = cut(x.join(got, F.col("ix") == F.col("src"), "left").select("ix", F.coalesce("got", F.lit(0.0)).alias("x")), "vector")
@@ -149,6 +176,25 @@ def core_numbers(g: Graph) -> DataFrame:
     k, done = 0, []
     loops = g.edges.filter("src = dst").groupBy("src").agg((2 * F.count(F.lit(1))).alias("own")).select(F.col("src").alias("lx"), "own")
     own = cut(loops, "own")
+    if is_small(left, nodes):
+
+        def solve(ix, a, b, w):
+            # loops have their own ends as weight of an edge to itself
+            deg = np.bincount(a, np.where(a == b, w, 1.0), len(ix)).astype(np.int64) + np.bincount(b[a != b], minlength=len(ix))
+            a, b = a[a != b], b[a != b]
+            core, rest, k = np.zeros(len(ix), np.int64), np.ones(len(ix), bool), 0
+            while rest.any():
+                k = max(k, int(deg[rest].min()))
+                gone = rest & (deg <= k)
+                core[gone] = k
+                rest &= ~gone
+                hit = gone[a] | gone[b]
+                deg -= np.bincount(a[hit], minlength=len(ix)) + np.bincount(b[hit], minlength=len(ix))
+                a, b = a[~hit], b[~hit]
+            return {"ix": ix, "k_core": core}
+
+        ends = left.selectExpr("a AS src", "b AS dst", "1D AS w").unionByName(own.selectExpr("lx AS src", "lx AS dst", "CAST(own AS DOUBLE) AS w"))
+        return in_one_task(nodes, ends, solve, "ix long, k_core long").select("ix", F.col("k_core").cast("int").alias("k_core"))
     while not nodes.isEmpty():
         ends = left.selectExpr("explode(array(a, b)) AS e").groupBy("e").agg(F.count(F.lit(1)).alias("c"))
         deg = cut(nodes.join(ends, F.col("ix") == F.col("e"), "left").join(own, F.col("ix") == F.col("lx"), "left").select("ix", (F.coalesce("c", F.lit(0)) + F.coalesce("own", F.lit(0))).alias("deg")), "deg")
@@ -170,10 +216,20 @@ def neighbours(g: Graph) -> DataFrame:
 
 
 def clustering(g: Graph) -> DataFrame:
-    """(ix, clustering): linked pairs of distinct neighbours over all pairs; 0 below two neighbours."""
+    """(ix, clustering): linked pairs of distinct neighbours over all pairs; 0 below two neighbours.
+
+    A node with a loop is its own neighbour, linked with all others. Triangles
+    are found once each, from their node of the least degree, so that no node
+    sees more pairs than there are edges, whatever its degree.
+    """
     near = cut(neighbours(g), "near")
-    k = near.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
-    wedges = near.selectExpr("a AS m", "b AS x").join(near.selectExpr("a AS m2", "b AS y"), (F.col("m") == F.col("m2")) & (F.col("x") < F.col("y")))
-    closed = wedges.join(near.selectExpr("a AS na", "b AS nb"), (F.col("x") == F.col("na")) & (F.col("y") == F.col("nb")), "left_semi").groupBy("m").agg(F.count(F.lit(1)).alias("links"))
+    k = near.groupBy("a").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("a") == F.col("b")).alias("own"))
+    size = k.select(F.col("a").alias("v"), F.struct("k", "a").alias("rank"))
+    ranked = near.filter("a != b").join(size.selectExpr("v AS a", "rank AS ra"), "a").join(size.selectExpr("v AS b", "rank AS rb"), "b")
+    up = cut(ranked.filter("ra < rb").select("a", "b"), "up")
+    wedges = up.selectExpr("a AS m", "b AS x").join(up.selectExpr("a AS m2", "b AS y"), (F.col("m") == F.col("m2")) & (F.col("x") < F.col("y")))
+    links = up.select(F.least("a", "b").alias("na"), F.greatest("a", "b").alias("nb"))
+    closed = wedges.join(links, (F.col("x") == F.col("na")) & (F.col("y") == F.col("nb")), "left_semi").select(F.explode(F.array("m", "x", "y")).alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("links"))
     out = g.nodes.select("ix").join(k, F.col("ix") == F.col("a"), "left").join(closed, F.col("ix") == F.col("m"), "left")
-    return out.select("ix", F.when(F.col("k") >= 2, F.coalesce("links", F.lit(0)) / (F.col("k") * (F.col("k") - 1) / 2)).otherwise(0.0).alias("clustering"))
+    linked = F.coalesce("links", F.lit(0)) + F.when(F.col("own") > 0, F.col("k") - 1).otherwise(0)
+    return out.select("ix", F.when(F.col("k") >= 2, linked / (F.col("k") * (F.col("k") - 1) / 2)).otherwise(0.0).alias("clustering"))

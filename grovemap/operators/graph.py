@@ -14,9 +14,16 @@ EDGES = "eix long, src long, dst long, edge_type string, weight double"
 NODE_TYPES = ["file", "module", "class", "interface", "function", "method", "variable", "property", "import", "export", "type", "enum"]
 EDGE_WEIGHTS = {"contains": 1.0, "references": 1.0, "calls": 1.5, "imports": 2.0, "exports": 2.0, "extends": 3.0, "implements": 3.0}
 BASE_SIZES = {"file": 20.0, "module": 20.0, "class": 15.0, "interface": 15.0, "function": 10.0, "method": 10.0}
-COLORS = {"file": "#4A90D9", "module": "#6C5CE7", "class": "#E17055", "interface": "#00B894", "function": "#FDCB6E", "method": "#FAB1A0", "variable": "#B2BEC3", "import": "#81ECEC", "export": "#55EFC4", "type": "#A29BFE", "enum": "#FD79A8"}
-DEFAULT_COLOR = "#888888"
-BASE_DISPLAY = {"file": 6.0, "module": 8.0, "class": 5.0, "interface": 4.0, "function": 3.0, "method": 3.0}
+#: Colours by node type: of the graph builder, of payloads and the 3-D view, and of level-of-detail views. "" is any other type.
+PALETTES: dict[str, dict[str, str]] = {
+    "builder": {"class": "#ff9800", "enum": "#ff5722", "file": "#4a9eff", "function": "#4caf50", "interface": "#9c27b0", "method": "#8bc34a", "module": "#4a9eff", "property": "#795548", "type": "#e91e63", "variable": "#607d8b", "": "#cccccc"},
+    "payload": {"class": "#50C878", "enum": "#85C1E2", "export": "#F0E68C", "file": "#4A90E2", "function": "#FFB347", "import": "#DDA0DD", "interface": "#98D8C8", "method": "#FFA07A", "module": "#7B68EE", "property": "#F7DC6F", "type": "#BB8FCE", "type_alias": "#BB8FCE", "variable": "#87CEEB", "": "#7ED321"},
+    "lod": {"class": "#96ceb4", "file": "#4ecdc4", "function": "#45b7d1", "package": "#ff6b6b", "": "#95a5a6"},
+}
+#: Node types by the size that a 3-D view gives them before it grows; others have DISPLAY.
+DISPLAY_TYPES = {8.0: ["file"], 7.0: ["module"], 6.0: ["class"], 5.0: ["interface"], 4.0: ["enum", "function"], 3.0: ["method", "type", "type_alias"], 2.0: ["export", "import", "property"]}
+DISPLAY = 3.0
+BASE_DISPLAY = {t: size for size, types in DISPLAY_TYPES.items() for t in types}
 
 
 @dataclass
@@ -27,12 +34,6 @@ class Graph:
     edges: DataFrame
 
 
-def relabel(kind: Column) -> Column:
-    """Enum spellings of node and edge types as lower-case labels."""
-    low = F.lower(kind)
-    return F.when(low == "type", "type_alias").otherwise(low)
-
-
 def builder_size(node_type: Column, start_line: Column, end_line: Column) -> Column:
     return mapped(node_type, BASE_SIZES, 5.0) + F.least((end_line - start_line + 1) / F.lit(10.0), F.lit(10.0))
 
@@ -41,8 +42,9 @@ def edge_weight(edge_type: Column) -> Column:
     return mapped(edge_type, EDGE_WEIGHTS, 1.0)
 
 
-def color_of(node_type: Column) -> Column:
-    return mapped(node_type, COLORS, DEFAULT_COLOR)
+def color_of(node_type: Column, palette: str = "builder") -> Column:
+    colors = PALETTES[palette]
+    return mapped(node_type, colors, colors[""])
 
 
 def build(nodes: DataFrame, links: DataFrame) -> Graph:
@@ -105,17 +107,24 @@ def loops(g: Graph) -> DataFrame:
 def match_metrics(metrics: DataFrame, nodes: DataFrame) -> DataFrame:
     """(path, ix, id) of the node of each of the metrics (path, ...): the id equals the path or one ends with the other; of several nodes the first by ix.
 
-    Paths and ids that end alike share their last segment, which is the key of
-    a hash join; only ids or paths that are themselves shorter than a segment
-    would be missed, so that texts without a slash are compared with all.
+    Where both have a slash they share their last segment if one ends with the
+    other, and that is the key of a hash join. A text without a slash may be
+    the end of a longer segment: its ends are no more than its characters, so
+    that the other side is exploded into the ends of its last segment that are
+    as long as some such text, and both meet in a hash join as well.
     """
-    ids = nodes.select("ix", "id", F.substring_index("id", "/", -1).alias("k"))
-    paths = metrics.select("path").distinct().withColumn("k", F.substring_index("path", "/", -1))
-    fits = F.expr("path = id OR endswith(path, id) OR endswith(id, path)")
-    whole = paths.join(ids, "k").filter(fits).select("path", "ix", "id")
-    bare = F.expr("instr(path, '/') = 0 OR instr(id, '/') = 0")
-    short = paths.drop("k").join(ids.drop("k"), bare & fits).select("path", "ix", "id")
-    return whole.unionByName(short).groupBy("path").agg(F.min_by(F.struct("ix", "id"), "ix").alias("n")).select("path", "n.ix", "n.id")
+    last = lambda c: F.substring_index(c, "/", -1)
+    paths, ids = metrics.select("path").filter("path IS NOT NULL").distinct(), nodes.select("ix", "id").filter("id IS NOT NULL")
+    fits = F.expr("endswith(path, id) OR endswith(id, path)")
+    whole = paths.withColumn("k", last("path")).join(ids.withColumn("k", last("id")), "k").filter(fits).select("path", "ix", "id")
+
+    def ends(bare: DataFrame, b: str, other: DataFrame, o: str) -> DataFrame:
+        bare = bare.filter(F.instr(b, "/") == 0)
+        lengths = F.broadcast(bare.agg(F.collect_set(F.length(b)).alias("lengths")))  # as many as there are lengths of file names
+        tails = other.crossJoin(lengths).select(*other.columns, F.explode(F.filter("lengths", lambda n: n < F.length(last(o)))).alias("n"))
+        return tails.withColumn("k", F.when(F.col("n") > 0, F.right(F.col(o), F.col("n"))).otherwise("")).join(bare.withColumn("k", F.col(b)), "k").select("path", "ix", "id")
+
+    return whole.unionByName(ends(ids, "id", paths, "path")).unionByName(ends(paths, "path", ids, "id")).groupBy("path").agg(F.min_by(F.struct("ix", "id"), "ix").alias("n")).select("path", "n.ix", "n.id")
 
 
 def display(metrics: DataFrame) -> DataFrame:
@@ -130,10 +139,11 @@ def highlighted(nodes: DataFrame, path_ids: DataFrame) -> DataFrame:
 
 
 def display_size(g: Graph) -> DataFrame:
-    """(ix, display_size): a base by type, grown by size or connections, within 2 and 20."""
-    base = mapped(F.col("node_type"), BASE_DISPLAY, 3.0)
-    grow = F.greatest(F.sqrt(F.col("size") / 10.0), 1.0 + 0.3 * F.log1p((F.col("d_in") + F.col("d_out")).cast("double")))
-    return with_degrees(g).select("ix", clamp(base * grow, 2.0, 20.0).alias("display_size"))
+    """(ix, display_size): a base by type times the root of a tenth of the size, or what its connections give it if that is more, within 2 and 20. Nodes without a size, or with neither, keep their base."""
+    ends = (F.col("d_in") + F.col("d_out")).cast("double")
+    by_size = F.when(F.col("size") > 0, F.sqrt(F.col("size") / 10.0)).otherwise(1.0)
+    grow = F.when(ends > 0, F.greatest(by_size, 1.0 + 0.3 * F.log1p(ends))).otherwise(by_size)
+    return with_degrees(g).select("ix", clamp(mapped(F.col("node_type"), BASE_DISPLAY, DISPLAY) * grow, 2.0, 20.0).alias("display_size"))
 
 
 def palette_filter(commands: DataFrame, text: str) -> DataFrame:

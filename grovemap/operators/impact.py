@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grovemap.cluster import cut
 from grovemap.operators.centrality import size_of
 from grovemap.operators.graph import Graph
-from grovemap.operators.primitives import all_distances, distances
+from grovemap.operators.primitives import all_distances, distances, is_small, per_source, reached
 
 
 def impact_probability(g: Graph) -> DataFrame:
@@ -21,9 +23,18 @@ def direct(g: Graph) -> DataFrame:
     return g.edges.select(F.col("dst").alias("ix"), F.col("src").alias("other"))
 
 
+def _two_or_three(first: np.ndarray, to: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+    one = reached(first, to, np.array([at]))
+    two = reached(first, to, one)
+    found = np.setdiff1d(np.union1d(two, reached(first, to, two)), one, assume_unique=True)
+    return found, np.zeros(len(found), np.int32)
+
+
 def indirect(g: Graph) -> DataFrame:
     """(ix, other): nodes with a walk of 2 or 3 edges to the node, that aren't among the direct ones; the node itself if it lies on such a cycle."""
-    e = g.edges.select("src", "dst").distinct()
+    e = cut(g.edges.select("src", "dst").distinct(), "steps")
+    if is_small(e):
+        return per_source(e.selectExpr("dst AS ea", "src AS eb"), e.selectExpr("dst AS s"), _two_or_three, False).selectExpr("s AS ix", "t AS other")
     one = e.selectExpr("dst AS v", "src AS w1")
     two = one.join(e.selectExpr("dst AS b2", "src AS w2"), F.col("w1") == F.col("b2")).select("v", "w2").distinct()
     three = two.join(e.selectExpr("dst AS b3", "src AS w3"), F.col("w2") == F.col("b3")).select("v", F.col("w3").alias("w2")).distinct()

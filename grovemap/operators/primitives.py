@@ -1,25 +1,138 @@
-"""Distances, reachability and components as loops of DataFrames, each round cut in the shared folder."""
+"""Distances, reachability and components.
+
+A graph of up to SENT_EDGES edges is sent to the tasks as arrays, or held by
+one task where the algorithm can't be split. Larger graphs go through loops of
+DataFrames, each round cut in the shared folder. Both ways give the same rows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grovemap.cluster import cut
 
+#: Distinct edges up to which a graph is held as arrays, of 16 to 40 bytes an edge.
+SENT_EDGES = 2_000_000
+_ROWS = 200_000
+
+
+def is_small(*tables: DataFrame) -> bool:
+    """Whether tables, which are written out so that counting them is cheap, together have few enough rows to be held as arrays."""
+    return sum(t.count() for t in tables) <= SENT_EDGES
+
+
+def sent(steps: DataFrame) -> Broadcast:
+    """steps (ea, eb) as adjacency lists: names of nodes in order, where each one's list starts, and the lists."""
+    held = steps.select("ea", "eb").toArrow()
+    a, b = held["ea"].to_numpy(), held["eb"].to_numpy()
+    names = np.unique(np.concatenate([a, b]))
+    src, dst = np.searchsorted(names, a), np.searchsorted(names, b)
+    order = np.argsort(src, kind="stable")
+    return steps.sparkSession.sparkContext.broadcast((names, np.searchsorted(src[order], np.arange(len(names) + 1)), dst[order]))
+
+
+def reached(first: np.ndarray, to: np.ndarray, front: np.ndarray) -> np.ndarray:
+    """Distinct nodes one step from those of front."""
+    many = first[front + 1] - first[front]
+    ends = np.cumsum(many)
+    return np.unique(to[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[front] - ends + many, many)])
+
+
+def per_source(steps: DataFrame, sources: DataFrame, visit: Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]], itself: bool) -> DataFrame:
+    """(s, t, d): for each of sources (s) what visit(first, to, its place) returns as (places, d), over steps sent to all tasks. A source without a step has itself at 0, or nothing."""
+    spark = steps.sparkSession
+    graph = sent(steps)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, first, to = graph.value
+        parts, held = [], 0
+
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["s", "t", "d"])
+
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                at = int(np.searchsorted(names, s))
+                if at < len(names) and names[at] == s:
+                    places, d = visit(first, to, at)
+                    t = names[places]
+                elif itself:
+                    t, d = np.array([s], np.int64), np.zeros(1, np.int32)
+                else:
+                    continue
+                parts.append((np.full(len(t), s, np.int64), t, d.astype(np.int32)))
+                held += len(t)
+                if held > _ROWS:
+                    yield rows()
+                    parts, held = [], 0
+        if parts:
+            yield rows()
+
+    # the work for a source doesn't follow the size of its row
+    return sources.select("s").distinct().repartition(2 * spark.sparkContext.defaultParallelism).mapInArrow(run, "s long, t long, d int")
+
+
+def in_one_task(nodes: DataFrame, edges: DataFrame, solve: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """What solve(ix, src, dst, w) returns as columns, for the whole graph of nodes (ix) and edges (src, dst, w) at once; ix ascends, src and dst are places in it. For graphs that is_small() lets pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(list(batches), pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("w", pa.float64())]))
+        node = held["dst"].is_null().to_numpy()
+        a, b, w = held["src"].to_numpy(), held["dst"].fill_null(0).to_numpy()[~node], held["w"].fill_null(0.0).to_numpy()[~node]
+        ix, a = np.unique(a[node]), a[~node]
+        if len(ix):
+            out = solve(ix, np.searchsorted(ix, a), np.searchsorted(ix, b), w)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out.values()], list(out))
+
+    none = F.lit(None)
+    rows = edges.select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("w").cast("double")).unionByName(nodes.select(F.col("ix").cast("long").alias("src"), none.cast("long").alias("dst"), none.cast("double").alias("w")))
+    return rows.repartition(1).mapInArrow(run, schema)
+
+
+def _search(most: int | None) -> Callable:
+    def visit(first: np.ndarray, to: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+        seen = np.zeros(len(first) - 1, bool)
+        front, levels = np.array([at]), []
+        while len(front):
+            seen[front] = True
+            levels.append(front)
+            if most is not None and len(levels) > most:
+                break
+            front = reached(first, to, front)
+            front = front[~seen[front]]
+        return np.concatenate(levels), np.repeat(np.arange(len(levels)), [len(x) for x in levels])
+
+    return visit
+
 
 def distances(edges: DataFrame, sources: DataFrame, most: int | None = None, backward: bool = False) -> DataFrame:
     """(s, t, d): steps of the shortest directed path from each source (s) to each node that it reaches within `most` steps, itself at 0; along edges (src, dst), or against them."""
     a, b = ("dst", "src") if backward else ("src", "dst")
     steps = cut(edges.select(F.col(a).alias("ea"), F.col(b).alias("eb")).distinct(), "steps")
-    levels = [cut(sources.selectExpr("s", "s AS t", "0 AS d").distinct(), "level")]
+    if is_small(steps):
+        return per_source(steps, sources, _search(most), True)
+    return walked(steps, sources.selectExpr("s", "s AS t", "s AS barred").distinct(), most, False)
+
+
+def walked(steps: DataFrame, start: DataFrame, most: int | None, bar: bool) -> DataFrame:
+    """(s, t, d), or (barred, s, t, d) if bar: distances from start (s, t, barred) along steps (ea, eb) by one join a level; with bar never into the row's barred node."""
+    keys = ["barred", "s", "t"] if bar else ["s", "t"]
+    levels = [cut(start.select(*keys).withColumn("d", F.lit(0)).distinct(), "level")]
     while most is None or len(levels) <= most:
-        front = levels[-1].selectExpr("s AS fs", "t AS ft")
-        seen = reduce(DataFrame.unionByName, levels).selectExpr("s AS ks", "t AS kt")
-        new = front.join(steps, F.col("ft") == F.col("ea")).selectExpr("fs AS s", "eb AS t").distinct()
-        new = new.join(seen, (F.col("s") == F.col("ks")) & (F.col("t") == F.col("kt")), "left_anti").withColumn("d", F.lit(len(levels)))
+        front = levels[-1].select(*[F.col(k).alias(f"f_{k}") for k in keys])
+        seen = reduce(DataFrame.unionByName, levels).select(*[F.col(k).alias(f"k_{k}") for k in keys])
+        new = front.join(steps, F.col("f_t") == F.col("ea"))
+        if bar:
+            new = new.filter("eb != f_barred")
+        new = new.select(*[F.col(f"f_{k}").alias(k) for k in keys[:-1]], F.col("eb").alias("t")).distinct()
+        new = new.join(seen, reduce(lambda x, y: x & y, [F.col(k) == F.col(f"k_{k}") for k in keys]), "left_anti").withColumn("d", F.lit(len(levels)))
         level = cut(new, "level")
         if level.isEmpty():
             break
@@ -27,6 +140,14 @@ def distances(edges: DataFrame, sources: DataFrame, most: int | None = None, bac
     return reduce(DataFrame.unionByName, levels)
 
 
+def place_of(rows: DataFrame, key: str) -> DataFrame:
+    """rows with `at`: the place of each in the order of key, from 0. Rows are sorted in ranges, and each range starts where those before end."""
+    sorted_ = cut(rows.orderBy(key).withColumn("m", F.monotonically_increasing_id()), "sorted").withColumn("range", F.shiftright("m", 33))
+    # a row for each range
+    before = sorted_.groupBy("range").agg(F.count(F.lit(1)).alias("c")).select("range", F.coalesce(F.sum("c").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return sorted_.join(F.broadcast(before), "range").withColumn("at", F.col("before") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).drop("range", "before", "m")
+
+
 def all_distances(nodes: DataFrame, edges: DataFrame, **options) -> DataFrame:
     return distances(edges, nodes.selectExpr("ix AS s"), **options)
 
@@ -34,6 +155,21 @@ def all_distances(nodes: DataFrame, edges: DataFrame, **options) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(ix, component): the least ix of the weakly connected component. Large and small stars in turn, a logarithmic number of rounds."""
     stars = cut(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u != v").distinct(), "stars")
+    nodes = cut(nodes.select("ix"), "nodes")
+    if is_small(stars, nodes):
+
+        def solve(ix, a, b, _):
+            label = np.arange(len(ix))
+            while len(a):
+                a, b = label[a], label[b]
+                a, b = a[a != b], b[a != b]
+                # only roots move, so that all members of a component come along
+                np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+                while not np.array_equal(label, up := label[label]):
+                    label = up
+            return {"ix": ix, "component": ix[label]}
+
+        return in_one_task(nodes, stars.selectExpr("u AS src", "v AS dst", "0D AS w"), solve, "ix long, component long")
     seen = None
     while True:
         both = stars.unionByName(stars.selectExpr("v AS u", "u AS v"))
@@ -57,6 +193,45 @@ def _settle(label: DataFrame, edges: DataFrame) -> DataFrame:
             return label
 
 
+def _tarjan(ix: np.ndarray, src: np.ndarray, dst: np.ndarray, _: np.ndarray) -> dict[str, np.ndarray]:
+    """One depth-first search with a stack of its own."""
+    order = np.argsort(src, kind="stable")
+    first, to = np.searchsorted(src[order], np.arange(len(ix) + 1)).tolist(), dst[order].tolist()
+    seen, low, held = [-1] * len(ix), [0] * len(ix), [False] * len(ix)
+    at, scc, waiting, count = first[:-1].copy(), np.full(len(ix), -1, np.int64), [], 0
+    for root in range(len(ix)):
+        if seen[root] >= 0:
+            continue
+        path = [root]
+        while path:
+            v = path[-1]
+            if seen[v] < 0:
+                seen[v] = low[v] = count
+                count += 1
+                waiting.append(v)
+                held[v] = True
+            if at[v] < first[v + 1]:
+                u = to[at[v]]
+                at[v] += 1
+                if seen[u] < 0:
+                    path.append(u)
+                elif held[u]:
+                    low[v] = min(low[v], seen[u])
+                continue
+            path.pop()
+            if path:
+                low[path[-1]] = min(low[path[-1]], low[v])
+            if low[v] == seen[v]:
+                members = []
+                while not members or members[-1] != v:
+                    members.append(waiting.pop())
+                    held[members[-1]] = False
+                if len(members) > 1:
+                    scc[members] = ix[min(members)]
+    some = scc >= 0
+    return {"ix": ix[some], "scc": scc[some]}
+
+
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(ix, scc) of nodes in strongly connected components of two or more nodes; scc is the least ix.
 
@@ -66,6 +241,9 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     and go.
     """
     left = cut(edges.filter("src != dst").select(F.col("src").alias("ea"), F.col("dst").alias("eb")).distinct(), "left")
+    nodes = cut(nodes.select("ix"), "nodes")
+    if is_small(left, nodes):
+        return in_one_task(nodes, left.selectExpr("ea AS src", "eb AS dst", "0D AS w"), _tarjan, "ix long, scc long")
     done = []
     while True:
         # trim

@@ -47,7 +47,7 @@ def ranges(g: Graph) -> DataFrame:
     rows = centrality.betweenness_v1(g).join(centrality.clustering(g), "ix").join(quality.cyclomatic_v1(g), "ix").join(degrees(g), "ix")
     pair = lambda c, name: (F.coalesce(F.min(c), F.lit(0.0)).alias(f"{name}_min"), F.coalesce(F.max(c), F.lit(1.0)).alias(f"{name}_max"))
     found = rows.agg(*pair("betweenness", "betweenness"), *pair("clustering", "clustering"), *pair("cyclomatic", "cyclomatic"), *pair(F.col("d_in").cast("double"), "in_degree"))
-    fixed = {"k_core": (0.0, 10.0), "churn": (0.0, 100.0), "owners": (0.0, 10.0), "coverage": (0.0, 1.0)}
+    fixed = {"pagerank_imports": (0.0, 1.0), "pagerank_calls": (0.0, 1.0), "k_core": (0.0, 10.0), "churn": (0.0, 100.0), "owners": (0.0, 10.0), "coverage": (0.0, 1.0)}
     return found.select("*", *[F.lit(v).alias(f"{k}_{end}") for k, pair_ in fixed.items() for end, v in zip(("min", "max"), pair_)])
 
 

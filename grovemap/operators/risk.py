@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,11 +13,9 @@ from grovemap.cluster import cut
 from grovemap.functions.exprs import clamp, finite
 from grovemap.operators.centrality import size_of
 from grovemap.operators.graph import Graph, triplets, with_degrees
-from grovemap.operators.primitives import all_distances, distances, strong_components
+from grovemap.operators.primitives import all_distances, distances, is_small, per_source, reached, sent, strong_components, walked
 
 COMPLEX, BOTTLENECK, COUPLED, CYCLES = 15.0, 5, 10, 100
-#: Edges up to which one executor holds the graph for nodes on cycles.
-KERNEL_EDGES = 5_000_000
 
 
 def _estimate(node_type: Column, outs: Column, caps: bool) -> Column:
@@ -64,12 +63,37 @@ def cycles(g: Graph, most: int | None = CYCLES) -> DataFrame:
     return named if most is None else named.orderBy("scc").limit(most)
 
 
+def _without(heads: np.ndarray, graph: Broadcast) -> Callable:
+    """Greatest distance, plus 1, from one of heads to a predecessor of the node, in the graph without it."""
+
+    def visit(first: np.ndarray, to: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+        names = graph.value[0]
+        owner = np.repeat(np.arange(len(names)), np.diff(first))
+        before = np.zeros(len(names), bool)
+        before[owner[to == at]] = True
+        most = 0
+        for head in np.searchsorted(names, heads[np.isin(heads, names)]).tolist():
+            seen = np.zeros(len(names), bool)
+            seen[at] = True
+            front, d = np.array([head]) if head != at else np.zeros(0, np.int64), 0
+            while len(front):
+                seen[front] = True
+                d += 1
+                if before[front].any():
+                    most = max(most, d)
+                front = reached(first, to, front)
+                front = front[~seen[front]]
+        return np.array([at]), np.array([most])
+
+    return visit
+
+
 def max_root_depth(g: Graph) -> DataFrame:
     """(ix, depth): the longest of the shortest paths from nodes without in-edges to the node, by way of each of its predecessors, none of which may pass through the node itself; 0 without such a root.
 
     For a node on no cycle no path to a predecessor can pass through it, so
     that distances in the whole graph serve. Nodes on cycles are each searched
-    in the graph without them, by one executor that holds the edges.
+    in the graph without them.
     """
     ins = g.edges.select(F.col("dst").alias("ix")).distinct()
     roots = g.nodes.select("ix").join(ins, "ix", "left_anti")
@@ -80,43 +104,15 @@ def max_root_depth(g: Graph) -> DataFrame:
     knots = cut(strong_components(g.nodes, g.edges).select("ix"), "knots")
     if knots.isEmpty():
         return plain
-    if steps.count() > KERNEL_EDGES:
-        raise ValueError("depth of nodes on cycles: the graph has more edges than one executor may hold")
-    held = steps.toPandas()
-    heads = [r[0] for r in roots.collect()]
-    shared = g.nodes.sparkSession.sparkContext.broadcast((held["src"].to_numpy(), held["dst"].to_numpy(), heads))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        src, dst, heads = shared.value
-        out: dict[int, list[int]] = {}
-        into: dict[int, set[int]] = {}
-        for a, b in zip(src.tolist(), dst.tolist()):
-            out.setdefault(a, []).append(b)
-            into.setdefault(b, set()).add(a)
-        for batch in batches:
-            depths = []
-            for v in batch["ix"].tolist():
-                most = 0
-                for r in heads:
-                    if r == v:
-                        continue
-                    seen, front, d = {r, v}, [r], 0
-                    while front:
-                        if any(p in into.get(v, ()) for p in front):
-                            most = max(most, d + 1)
-                        d += 1
-                        new = []
-                        for c in front:
-                            for t in out.get(c, ()):
-                                if t not in seen:
-                                    seen.add(t)
-                                    new.append(t)
-                        front = new
-                depths.append(most)
-            yield pd.DataFrame({"ix": batch["ix"], "depth": depths})
-
-    spread = max(1, int(g.nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    exact = knots.repartition(spread, "ix").mapInPandas(run, "ix long, depth long")
+    steps = cut(steps.selectExpr("src AS ea", "dst AS eb"), "steps")
+    roots = cut(roots, "roots")
+    if is_small(steps, roots):
+        heads = np.sort(roots.toArrow()["ix"].to_numpy())
+        return plain.join(knots, "ix", "left_anti").unionByName(per_source(steps, knots.selectExpr("ix AS s"), _without(heads, sent(steps)), False).selectExpr("s AS ix", "CAST(d AS LONG) AS depth"))
+    # each knot with each root, and never into the knot
+    start = knots.crossJoin(roots.selectExpr("ix AS s")).filter("ix != s").selectExpr("ix AS barred", "s", "s AS t")
+    deepest = walked(steps, start, None, True).join(steps, (F.col("t") == F.col("ea")) & (F.col("barred") == F.col("eb"))).groupBy("barred").agg((F.max("d") + 1).alias("depth"))
+    exact = knots.join(deepest, F.col("ix") == F.col("barred"), "left").select("ix", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
     return plain.join(knots, "ix", "left_anti").unionByName(exact)
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from grovemap.operators.graph import Graph
 
+#: Ids of users that one task numbers.
+BLOCK = 1_000_000
 _SIZE = "CAST(({x} * 37) % 1200 AS DOUBLE)"
 _TYPE = "CASE {x} % 3 WHEN 0 THEN 'file' WHEN 1 THEN 'function' ELSE 'class' END"
 
@@ -24,9 +26,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _trail(spark: SparkSession, sf_dir: str, kind: str, least: float | None) -> Graph:
     events = _table(spark, sf_dir, "events")
-    users = events.select("user_id").distinct().select("user_id", (F.row_number().over(Window.orderBy("user_id")) - 1).cast("long").alias("ix"))
+    # places in order from totals of blocks of ids, so that no window sees all users
+    ids = events.select("user_id").distinct().withColumn("block", F.floor(F.col("user_id") / BLOCK))
+    before = ids.groupBy("block").agg(F.count(F.lit(1)).alias("c")).select("block", F.coalesce(F.sum("c").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    users = ids.join(before, "block").select("user_id", (F.col("before") + F.row_number().over(Window.partitionBy("block").orderBy("user_id")) - 1).cast("long").alias("ix"))
     nodes = users.select("ix", F.col("user_id").cast("string").alias("id"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("name"), F.expr(_TYPE.format(x="ix")).alias("node_type"), F.expr(_SIZE.format(x="ix")).alias("size"), F.lit("#888888").alias("color"), F.expr("concat('/d', CAST(ix % 7 AS STRING), '/f', CAST(ix AS STRING))").alias("file_path"))
-    steps = events.filter(F.col("event_type") == kind).select(F.col("event_id").alias("eix"), "user_id", F.lead("user_id").over(Window.orderBy("ts", "event_id")).alias("next_id"), "value").filter("next_id IS NOT NULL")
+    # the next event is in the same day, or else the first of the next day that has one
+    rows = events.filter(F.col("event_type") == kind).select(F.col("event_id").alias("eix"), "ts", "user_id", "value", F.to_date("ts").alias("day"))
+    first = rows.groupBy("day").agg(F.min(F.struct("ts", "eix", "user_id")).alias("first"))
+    after = first.select("day", F.lead("first.user_id").over(Window.orderBy("day")).alias("after"))
+    inside = F.lead("user_id").over(Window.partitionBy("day").orderBy("ts", "eix"))
+    steps = rows.withColumn("inside", inside).join(after, "day").select("eix", "user_id", F.coalesce("inside", "after").alias("next_id"), "value").filter("next_id IS NOT NULL")
     if least is not None:
         steps = steps.filter(F.col("value") > least)
     a, b = users.select(F.col("user_id"), F.col("ix").alias("src")), users.select(F.col("user_id").alias("next_id"), F.col("ix").alias("dst"))

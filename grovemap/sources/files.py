@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,27 +18,66 @@ from grovemap.sources.parse import parse_files
 TRY = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"]
 
 
-def ignore_pattern(line: str) -> str | None:
-    """Regular expression of a .gitignore line for paths relative to its folder; None for blank lines, comments and exceptions."""
-    line = line.strip()
-    if not line or line[0] in "#!":
+def ignore_pattern(line: str) -> tuple[str, bool] | None:
+    """Regular expression of a .gitignore line for paths relative to its folder, which for folders end with a slash, and whether the line is an exception (`!`); None for blank lines and comments."""
+    line = re.sub(r"(?<!\\)\s+$", "", line)
+    if not line or line[0] == "#":
         return None
+    keep = line[0] == "!"
+    line = line[1:] if keep else line[1:] if line[:2] in (r"\#", r"\!") else line
     anchored = "/" in line.rstrip("/")
-    body = "".join({"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c)) for c in line.strip("/").replace("**/", "\0").replace("**", "\1"))
-    body = body.replace(re.escape("\0"), "(?:.*/)?").replace(re.escape("\1"), ".*")
-    return ("^" if anchored else "(?:^|/)") + body + ("/" if line.endswith("/") else "(?:/|$)")
-
-
-def scan(spark: SparkSession, root: str, ignore: list[str] = ()) -> DataFrame:
-    """(path, content) of the files with a known extension below root, paths relative to it; content is null for files that aren't UTF-8. ignore: .gitignore lines."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = re.sub(r"^file:/*", "/", root).rstrip("/")
-    path = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), f"^{re.escape(base)}/", "")
-    out = raw.select(path.alias("path"), "content").filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(sorted(BY_EXTENSION)))
-    for p in filter(None, map(ignore_pattern, ignore)):
-        out = out.filter(~F.col("path").rlike(p))
+    body = ""
+    for part in re.findall(r"\*\*/|\*\*|\*|\?|\[!?[^\]]+\]|\\.|.", line.strip("/")):
+        body += {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(part) or ("[" + re.sub("^!", "^", part[1:-1]).replace("\\", r"\\") + "]" if len(part) > 2 else re.escape(part[-1]))
+    return ("^" if anchored else "(?:^|.*/)") + body + ("/$" if line.endswith("/") else "/?$"), keep
+
+
+def _ignored(path: str, rules: list[tuple[str, re.Pattern, bool]]) -> bool:
+    """Whether the last rule (folder, pattern, exception) that the path meets leaves it out."""
+    for folder, pattern, keep in reversed(rules):
+        if path.startswith(folder) and pattern.match(path[len(folder) :]):
+            return not keep
+    return False
+
+
+def _rules(folder: str, lines: Iterable[str]) -> list[tuple[str, re.Pattern, bool]]:
+    return [(folder, re.compile(p[0]), p[1]) for p in map(ignore_pattern, lines) if p]
+
+
+def listed(root: str, ignore: Iterable[str] = ()) -> Iterator[str]:
+    """Paths, relative to root, of the files with a known extension that neither `ignore` (.gitignore lines) nor a .gitignore file of the tree leaves out. Hidden files count; folders that are left out, and .git, aren't entered."""
+    system, base = FileSystem.from_uri(root if "://" in root else os.path.abspath(root))
+    waiting = [("", _rules("", ignore))]
+    while waiting:
+        folder, rules = waiting.pop()
+        found = system.get_file_info(FileSelector(f"{base}/{folder}"))
+        if any(x.base_name == ".gitignore" and x.type == FileType.File for x in found):
+            with system.open_input_stream(f"{base}/{folder}.gitignore") as f:
+                rules = rules + _rules(folder, f.read().decode("utf-8", "replace").splitlines())
+        for x in sorted(found, key=lambda x: x.base_name):
+            path = folder + x.base_name
+            if x.type == FileType.Directory:
+                if x.base_name != ".git" and not _ignored(path + "/", rules):
+                    waiting.append((path + "/", rules))
+            elif x.base_name.rpartition(".")[2].lower() in BY_EXTENSION and "." in x.base_name and not _ignored(path, rules):
+                yield path
+
+
+def scan(spark: SparkSession, root: str, ignore: Iterable[str] = ()) -> DataFrame:
+    """(path, content) of the files that listed() finds below root (a path, or a URI of a file system that all executors reach); content is null for files that aren't UTF-8. Names are listed by the driver, files are read by executors."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = FileSystem.from_uri(root if "://" in root else os.path.abspath(root))
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with system.open_input_stream(f"{base}/{path}") as f:
+                    data = f.read()
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([data], pa.binary())], ["path", "content"])
+
+    names = spark.createDataFrame(pa.table({"path": pa.array(list(listed(root, ignore)), pa.string())}))
+    cores = spark.sparkContext.defaultParallelism
     text = F.col("content").cast("string")
-    return out.select("path", F.when(F.is_valid_utf8(text), text).alias("content"))
+    return names.repartition(4 * cores).mapInArrow(read, "path string, content binary").select("path", F.when(F.is_valid_utf8(text), text).alias("content"))
 
 
 def normal(path: Column) -> Column:
@@ -71,7 +114,7 @@ def _python_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     up = F.concat_ws("/", F.regexp_replace("source", "/?[^/]*$", ""), F.array_join(F.array_repeat(F.lit(".."), (dots - 1).cast("int")), "/"), F.regexp_replace("spec", "^[.]+", ""))
     named = imports.select("source", "spec", F.when(dots > 0, normal(up)).otherwise(F.col("spec")).alias("module"))
     whole = named.join(py, "module").select("source", "spec", "target")
-    tails = py.select("target", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("module", "/"))), lambda i: F.array_join(F.slice(F.split("module", "/"), i, 1000), "/"))).alias("module"))
+    tails = py.select("target", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("module", "/"))), lambda i: F.array_join(F.slice(F.split("module", "/"), i, F.size(F.split("module", "/"))), "/"))).alias("module"))
     loose = named.filter(~F.col("spec").startswith(".")).join(tails, "module").select("source", "spec", "target")
     return whole.unionByName(loose).groupBy("source", "spec").agg(F.min_by("target", F.struct(F.length("target"), F.col("target"))).alias("target"))
 
@@ -86,7 +129,7 @@ def to_graph(parsed: DataFrame, package_main: DataFrame | None = None) -> Graph:
     links = ok.select("path", F.explode("links").alias("l")).select("path", "l.*")
     plain = links.filter(~F.col("target").rlike("^(import|call|base):")).select("source", "target", "edge_type")
     files = ok.select("path", language_of(F.col("path")).alias("language"))
-    wanted = links.filter(F.col("target").startswith("import:")).select(F.col("path").alias("source"), F.substring("target", 8, 10000).alias("spec"), language_of(F.col("path")).alias("language"))
+    wanted = links.filter(F.col("target").startswith("import:")).select(F.col("path").alias("source"), F.expr("substring(target, 8)").alias("spec"), language_of(F.col("path")).alias("language"))
     local = wanted.withColumn("spec", F.when((F.col("language") == "c") & ~F.col("spec").rlike("^[./]"), F.concat(F.lit("./"), "spec")).otherwise(F.col("spec")))
     found = resolve_imports(local.filter("language != 'python'").select("source", "spec").distinct(), files, package_main).unionByName(_python_imports(local.filter("language = 'python'").select("source", "spec").distinct(), files))
     to_file = lambda c: F.concat(F.lit("file:"), c)
@@ -94,7 +137,7 @@ def to_graph(parsed: DataFrame, package_main: DataFrame | None = None) -> Graph:
     names = rows.select("path", "id", "name", "node_type")
 
     def by_name(prefix: str, kinds: list[str]) -> DataFrame:
-        ask = links.filter(F.col("target").startswith(prefix)).select("path", "source", F.substring("target", len(prefix) + 1, 10000).alias("name"), "edge_type")
+        ask = links.filter(F.col("target").startswith(prefix)).select("path", "source", F.expr(f"substring(target, {len(prefix) + 1})").alias("name"), "edge_type")
         own = names.filter(F.col("node_type").isin(kinds)).groupBy("path", "name").agg(F.min("id").alias("own"))
         only = names.filter(F.col("node_type").isin(kinds)).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("only")).filter("n = 1").drop("n")
         return ask.join(own, ["path", "name"], "left").join(only, "name", "left").select("source", F.coalesce("own", "only").alias("target"), "edge_type").filter("target IS NOT NULL")
@@ -103,7 +146,7 @@ def to_graph(parsed: DataFrame, package_main: DataFrame | None = None) -> Graph:
     return build(nodes, every.select(F.xxhash64("source", "target", "edge_type").alias("eix"), "source", "target", "edge_type", edge_weight(F.col("edge_type")).alias("weight")))
 
 
-def analyze_tree(spark: SparkSession, root: str, ignore: list[str] = ()) -> tuple[Graph, DataFrame]:
+def analyze_tree(spark: SparkSession, root: str, ignore: Iterable[str] = ()) -> tuple[Graph, DataFrame]:
     """Graph of the source tree at root, and (path, error) of the files left out."""
     parsed = parse_files(scan(spark, root, ignore))
     return to_graph(parsed), parsed.filter("error IS NOT NULL").select("path", "error")

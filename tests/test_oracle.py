@@ -2,11 +2,8 @@ import pytest
 from grovemap.plans import queries
 from oracle import both
 
-#: Those with long loops are left to the driver.
-LOOPS = {"pagerank_fixed", "composites", "strong_components", "cycles", "betweenness_v2", "closeness_v1", "closeness_v2", "complexity_v1", "change_propagation", "dependency_depth", "deep_dependencies", "distances"}
 
-
-@pytest.mark.parametrize("name", sorted(set(queries.ORACLE_SQL) - LOOPS))
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_its_sql(spark, name):
     got, want = both(spark, queries.QUERIES[name], queries.ORACLE_SQL[name], "/root/testdata/sf0.001")
     assert got == want

@@ -125,9 +125,23 @@ def test_scan_and_graph(spark, tree):
 def test_ignore_patterns():
     import re
 
-    hit = lambda line, path: bool(re.search(files.ignore_pattern(line), path))
-    assert hit("*.js", "a/b.js") and not hit("*.js", "a/b.ts") and hit("build/", "x/build/y.js") and not hit("build/", "x/build.js")
-    assert hit("/a/*.js", "a/b.js") and not hit("/a/*.js", "c/a/b.js") and hit("a/**/z.js", "a/b/c/z.js") and files.ignore_pattern("!x") is None
+    hit = lambda line, path: bool(re.match(files.ignore_pattern(line)[0], path))
+    assert hit("*.js", "a/b.js") and not hit("*.js", "a/b.ts") and hit("build/", "x/build/") and not hit("build/", "x/build.js") and not hit("build/", "build")
+    assert hit("/a/*.js", "a/b.js") and not hit("/a/*.js", "c/a/b.js") and hit("a/**/z.js", "a/b/c/z.js") and hit("a/**/z.js", "a/z.js")
+    assert hit("x[0-9].c", "x3.c") and hit("x[!0-9].c", "xa.c") and not hit("x[!0-9].c", "x3.c") and hit(r"\#a.c", "#a.c") and hit("gen?", "gen1/")
+    assert files.ignore_pattern("!x")[1] and not files.ignore_pattern("x")[1] and files.ignore_pattern("# x") is None and files.ignore_pattern("  ") is None
+
+
+def test_ignore_files_of_the_tree(tmp_path):
+    for path, text in {
+        ".gitignore": "*.gen.py\n/out/\nnode_modules\n!keep.gen.py\n", "a.py": "", "x.gen.py": "", "keep.gen.py": "", "out/b.py": "", "sub/out/c.py": "", "node_modules/d.js": "", "pkg/__init__.py": "", "pkg/.hidden.js": "",
+        "sub/.gitignore": "*.c\n!x.gen.py\n/only.ts", "sub/e.c": "", "sub/deep/f.c": "", "f.c": "", "sub/x.gen.py": "", "sub/only.ts": "", "sub/deep/only.ts": "", ".git/g.py": "", "README": "", "c": "",
+    }.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    want = {"a.py", "keep.gen.py", "sub/out/c.py", "pkg/__init__.py", "pkg/.hidden.js", "f.c", "sub/x.gen.py", "sub/deep/only.ts"}
+    assert set(files.listed(str(tmp_path))) == want
+    assert set(files.listed(f"file://{tmp_path}", ["pkg/"])) == want - {"pkg/__init__.py", "pkg/.hidden.js"}
 
 
 def test_file_tree(spark):
