@@ -22,10 +22,10 @@ from grovemap.llm.common import chunks, least_hashed, spread, table, tidy
 KINDS = ["", "email", "phone", "ip", "card", "secret"]
 HIDDEN = 12
 WINDOW, OVERLAP = 1024, 64
-#: Documents that lend lines to the training texts, taken in the order of a hash of their ids, and lines taken from each.
+#: Documents that lend lines to the training texts, taken in the order of a hash of their ids, lines taken from each, and the longest line taken.
 CARRIER_DOCS = 400
-CARRIER_LINES = 8
-STEPS, BATCH, LENGTH = 900, 96, 96
+CARRIER_LINES, CARRIER_CHARS = 8, 2000
+STEPS, BATCH, LENGTH = 1500, 96, 96
 _BATCH_WINDOWS = 1024
 _TOP = 0x300
 #: The bits of 1.0 as a number, half of those that a factor of e adds, and how far from 1.0 they may go.
@@ -52,33 +52,75 @@ def encode(text: str) -> np.ndarray:
 # --- labelled training texts
 
 
-def _value(rng: random.Random, kind: str, word: str) -> tuple[str, int, int]:
+def _mixed(rng: random.Random, n: int, letters: str = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789") -> str:
+    return "".join(rng.choice(letters) for _ in range(n))
+
+
+def _email(rng: random.Random, word: str, other: str) -> str:
+    n = rng.randrange
+    first, last, d = word[:12], other[:12], _mixed(rng, rng.choice([1, 1, 2, 4]), "0123456789")
+    user = rng.choice([first, f"{first}{d}", f"{first}.{d}", f"{first}_{d}", f"{first[:1]}.{last}", f"{first}.{last}", f"{first}-{last}", f"{first}_{last}", f"{first}{last[:1]}", first.upper(), first.capitalize()])
+    user += rng.choice(["", "", "", "", f"+{last}", f"+{d}"])
+    name = rng.choice([f"mail{n(10)}.example", "example", "mail", "post", last, f"{first}-{last}", f"{last}{n(10)}", f"mx{n(10)}.{last}", f"web.{last}", "company", f"uni-{last}"])
+    return f"{user}@{name}.{rng.choice(['com', 'com', 'org', 'net', 'de', 'fr', 'es', 'edu', 'io', 'co', 'co.uk', 'info'])}"
+
+
+def _phone(rng: random.Random) -> str:
+    d = lambda n: _mixed(rng, n, "0123456789")
+    a, b, c = d(3), rng.choice(["555", d(3)]), d(4)
+    return rng.choice([f"+1 ({a}) {b}-{c}", f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"+{rng.randrange(20, 99)} {a} {b} {c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+1-{a}-{b}-{c}", f"+{rng.randrange(20, 99)} {d(4)} {d(6)}", f"0{d(4)} {d(6)}", f"0{d(3)} {d(3)} {d(4)}", f"+{rng.randrange(20, 99)}{d(10)}", f"0{d(2)}-{d(4)}-{d(4)}"])
+
+
+def _address(rng: random.Random) -> str:
+    if rng.random() < 0.7:
+        return ".".join(str(rng.randrange(256)) for _ in range(4))
+    group = lambda: _mixed(rng, rng.choice([1, 2, 3, 4, 4, 4]), "0123456789abcdef")
+    head, tail = rng.randrange(1, 5), rng.randrange(0, 4)
+    v = rng.choice([":".join(group() for _ in range(8)), ":".join(group() for _ in range(head)) + "::" + ":".join(group() for _ in range(tail))])
+    return v if rng.random() < 0.8 else v.upper()
+
+
+def _key(rng: random.Random) -> tuple[str, bool]:
+    """A secret, and whether it is known by its looks alone."""
+    hexa, upper = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    kind = rng.randrange(10)
+    if kind < 4:
+        return _mixed(rng, rng.choice([32, 40, 40, 40, 64]), hexa), False
+    if kind < 7:
+        return _mixed(rng, rng.randrange(28, 44)), False
+    return rng.choice([
+        "AKIA" + _mixed(rng, 16, upper), "ASIA" + _mixed(rng, 16, upper), "ghp_" + _mixed(rng, 36), "sk-" + _mixed(rng, rng.choice([32, 48])), "sk_live_" + _mixed(rng, 24), "AIza" + _mixed(rng, 35), f"xoxb-{_mixed(rng, 11, '0123456789')}-{_mixed(rng, 24)}", "glpat-" + _mixed(rng, 20),
+    ]), True
+
+
+def _value(rng: random.Random, kind: str, word: str, other: str) -> tuple[str, int, int]:
     """A text and where the labelled value stands in it."""
-    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     if kind == "email":
-        user = rng.choice([f"{word}.{rng.randrange(100)}", word, f"{word}{digits(2)}", f"{word}_{digits(1)}", f"{word[:1]}.{word[::-1]}"])
-        host = rng.choice(["mail{}.example.com", "example{}.org", "post{}.net", "mx{}.company.co", "web{}.de"]).format(rng.choice([digits(1), ""]))
-        v = f"{user}@{host}"
+        v = _email(rng, word, other)
     elif kind == "phone":
-        a, b, c = digits(3), rng.choice(["555", digits(3)]), digits(4)
-        v = rng.choice([f"+1 ({a}) {b}-{c}", f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"+{rng.randrange(20, 99)} {a} {b} {c}", f"{a}-{b}-{c}"])
+        v = _phone(rng)
     elif kind == "ip":
-        v = ".".join(str(rng.randrange(256)) for _ in range(4))
+        v = _address(rng)
     elif kind == "card":
-        parts = [digits(4) for _ in range(4)]
-        v = rng.choice(["", "", "", " ", "-"]).join(parts)
+        sizes = [4, 4, 4, 4] if rng.random() < 0.85 else [4, 6, 5]
+        v = rng.choice(["", "", "", " ", "-"]).join(_mixed(rng, n, "0123456789") for n in sizes)
     else:
-        v = rng.choice(["".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([32, 40, 40, 40]))), "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789") for _ in range(rng.randrange(28, 44)))])
-        name = rng.choice(["token", "token", "token", "api_key", "secret", "password"])
-        lead = rng.choice([f'{name} = "', f'{name} = "', f'{name}="', f"{name}: "])
+        v, known = _key(rng)
+        if known and rng.random() < 0.5:
+            return v, 0, len(v)
+        name = rng.choice(["token", "token", "token", "api_key", "secret", "password", "aws_key", "auth"])
+        lead = rng.choice([f'{name} = "', f'{name} = "', f'{name}="', f"{name}: ", f"{name}="])
         return lead + v + ('"' if '"' in lead else ""), len(lead), len(lead) + len(v)
     return v, 0, len(v)
 
 
-def _plain(rng: random.Random) -> str:
+def _plain(rng: random.Random, word: str) -> str:
     """Something with digits or signs that is none of the kinds."""
     n = rng.randrange
-    return rng.choice([str(n(10)), str(n(100)), str(n(1900, 2100)), str(n(10**6)), f"{n(10)}.{n(10)}", f"{n(10)}.{n(20)}.{n(10)}", f"{n(1990, 2030)}-{n(10, 13)}-{n(10, 29)}", f"{n(10, 24)}:{n(10, 60)}", f"${n(1000)}.{n(10, 99)}", f"{n(100)}%", "###", "$$$", "%%%", "!!", "|", f"({n(100)})", f"#{n(1000)}", "@", "x = 3", f"page {n(50)}"])
+    return rng.choice([
+        str(n(10)), str(n(100)), str(n(1900, 2100)), str(n(10**6)), str(n(10**5, 10**9)), f"{n(10)}.{n(10)}", f"{n(10)}.{n(20)}.{n(10)}", f"{n(1990, 2030)}-{n(10, 13)}-{n(10, 29)}", f"{n(10, 24)}:{n(10, 60)}", f"{n(10, 24)}:{n(10, 60)}:{n(10, 60)}", f"${n(1000)}.{n(10, 99)}", f"{n(100)}%", "###", "$$$", "%%%", "!!", "|", f"({n(100)})", f"#{n(1000)}", "@", f"@{word}", "x = 3",
+        f"page {n(50)}", rng.choice(".-/").join([f"{n(1, 32):02d}", f"{n(1, 13):02d}", str(n(1900, 2100))]), rng.choice("-/").join([str(n(1900, 2100)), f"{n(1, 13):02d}", f"{n(1, 32):02d}"]), f"{n(1000)}-{n(1000)}", f"{n(1, 999)},{n(100, 999)}", f"#{_mixed(rng, 6, '0123456789abcdef')}", f"{word}-{n(100)}", f"{word}_{n(10)}", f"http://{word}.example.org/{n(2000, 2030)}/{word}", f"{word}.{word}", f"{word.upper()}{n(100)}", f"v{n(10)}.{n(10)}.{n(10)}.{n(10, 30)}-rc",
+    ])
 
 
 def labelled(lines: list[str], n: int, seed: int) -> list[tuple[str, Spans]]:
@@ -98,11 +140,12 @@ def labelled(lines: list[str], n: int, seed: int) -> list[tuple[str, Spans]]:
                 text += "" if not text or text[-1] == "\n" else " "
                 if roll < 0.1:
                     kind = rng.randrange(1, len(KINDS))
-                    v, a, b = _value(rng, KINDS[kind], re.sub(r"\W", "", w).lower() or "me")
+                    clean = [re.sub(r"[\W_]", "", x).lower() or "me" for x in (w, rng.choice(words))]
+                    v, a, b = _value(rng, KINDS[kind], *clean)
                     spans.append((len(text) + a, len(text) + b, kind))
                     text += v + rng.choice(["", "", "", "", ".", ",", "###", "$$$", "%%%", "!!", " |", ";", ")"])
                 elif roll < 0.16:
-                    text += _plain(rng) + rng.choice(["", ",", "."])
+                    text += _plain(rng, re.sub(r"[\W_]", "", w).lower() or "me") + rng.choice(["", ",", "."])
                 else:
                     text += w
             text += rng.choice([" ", "\n"]).strip(" ")
@@ -165,7 +208,7 @@ class Tagger:
             d_hid, d_cell = z @ back, dc * f
         hid = np.stack([k[7] for k in kept])
         for k, d in enumerate("fb"):
-            grads["u" + d] += sum(np.matmul(hid[:, k].transpose(0, 2, 1), d_z[:, k]))
+            grads["u" + d] += hid[:, k].reshape(-1, h).T @ d_z[:, k].reshape(-1, 4 * h)
             flat = ids[:, k].ravel()
             order = np.argsort(flat, kind="stable")
             seen, first = np.unique(flat[order], return_index=True)
@@ -179,16 +222,19 @@ class Tagger:
         fo, bo = outs[:, 0], outs[:, 1]
         e = fo @ self.p["wf"] + bo[::-1] @ self.p["wb"] + self.p["bias"]
         move, (steps, n, k) = self.p["move"], e.shape
-        fwd, bwd = np.empty_like(e), np.zeros_like(e)
-        fwd[0] = e[0]
-        join = lambda x, axis: (m := x.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis=axis))
-        for t in range(1, steps):
-            fwd[t] = e[t] + join(fwd[t - 1][:, :, None] + move, 1)
+        # chances forward and backward, each step's brought to a sum of 1, whose logarithms make the likelihood
+        top, most = e.max(axis=2, keepdims=True), move.max()
+        emit, pass_on = np.exp(e - top), np.exp(move - most)
+        fwd, bwd, total = np.empty_like(e), np.ones_like(e), np.empty((steps, n, 1), e.dtype)
+        for t in range(steps):
+            fwd[t] = emit[t] * (fwd[t - 1] @ pass_on) if t else emit[t]
+            total[t] = fwd[t].sum(axis=1, keepdims=True)
+            fwd[t] /= total[t]
         for t in range(steps - 2, -1, -1):
-            bwd[t] = join(move + (e[t + 1] + bwd[t + 1])[:, None, :], 2)
-        z = join(fwd[-1], 1)
-        share = np.exp(fwd + bwd - z[None, :, None])
-        both = np.exp(fwd[:-1, :, :, None] + move + (e + bwd)[1:, :, None, :] - z[None, :, None, None]).sum(axis=(0, 1))
+            bwd[t] = (emit[t + 1] * bwd[t + 1]) @ pass_on.T / total[t + 1]
+        z = (np.log(total) + top).sum(axis=(0, 2)) + (steps - 1) * most
+        share = fwd * bwd
+        both = pass_on * (fwd[:-1].reshape(-1, k).T @ (emit * bwd / total)[1:].reshape(-1, k))
         at, col = np.arange(steps)[:, None], np.arange(n)[None, :]
         gold = e[at, col, tags].sum() + move[tags[:-1], tags[1:]].sum()
         share[at, col, tags] -= 1
@@ -398,7 +444,8 @@ def train(lines: tuple[str, ...], steps: int = STEPS, seed: int = 5) -> Tagger:
     for step in range(1, steps + 1):
         ids, gold = np.empty((LENGTH, BATCH), np.intp), np.empty((LENGTH, BATCH), np.intp)
         for j, i in enumerate(rng.integers(0, len(codes), BATCH).tolist()):
-            s = rng.integers(0, len(codes[i]) - LENGTH + 1)
+            # a third each from a text's start, its end and anywhere
+            s = (0, len(codes[i]) - LENGTH, rng.integers(0, len(codes[i]) - LENGTH + 1))[j % 3]
             ids[:, j], gold[:, j] = codes[i][s : s + LENGTH], tags[i][s : s + LENGTH]
         _, grads = model.loss(ids, gold)
         norm = np.sqrt(sum((g * g).sum() for g in grads.values()))
@@ -412,11 +459,10 @@ def train(lines: tuple[str, ...], steps: int = STEPS, seed: int = 5) -> Tagger:
 
 
 def carrier_lines(docs: DataFrame, limit: int = CARRIER_DOCS) -> tuple[str, ...]:
-    """Lines without digits and @ from at most limit documents."""
-    chosen = least_hashed(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("id IS NOT NULL"), "id", limit)
-    lines = F.slice(F.filter(F.split("text", "\n"), lambda x: ~x.rlike("[0-9@]") & (F.length(x) > 0)), 1, CARRIER_LINES)
-    rows = chosen.select("id", F.transform(lines, lambda x: F.substring(x, 1, 400)).alias("lines")).collect()
-    return tuple(x for r in sorted(rows, key=lambda r: (r["id"], r["lines"] or [])) for x in r["lines"] or [])
+    """Lines without digits and @ from at most limit documents: of each the first CARRIER_LINES that have no more than CARRIER_CHARS characters. Of several texts of one id the least lends its lines; rows with a null id lend none."""
+    lines = F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"), lambda x: ~x.rlike("[0-9@]") & (F.length(x) > 0) & (F.length(x) <= CARRIER_CHARS))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.slice(lines, 1, CARRIER_LINES).alias("lines")).filter("id IS NOT NULL")
+    return tuple(x for r in sorted(least_hashed(rows, "id", limit).collect(), key=lambda r: r["id"]) for x in r["lines"])
 
 
 def find(docs: DataFrame, model: Tagger, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -424,7 +470,8 @@ def find(docs: DataFrame, model: Tagger, id_col: str = "doc_id", text_col: str =
 
     Null and empty texts have no span, texts of any length are read to their
     end. A null id is passed on. Each row is read on its own, so that repeated
-    rows give repeated spans; other columns are ignored.
+    rows give repeated spans; an empty table gives no row; other columns are
+    ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
