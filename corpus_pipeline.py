@@ -17,22 +17,27 @@ from grovemap.llm.op8_simhash import keep_one
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier keeps; rows without a token, and every row where the labels lack a class, stay. Labels and texts may be null, ids repeated; an empty table stays empty."""
     return good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that of the least id; rows with a null id and texts without a word stay, repeated rows are one."""
     return keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage; rows with a null id or text stay."""
     return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's rate says; repeated rows are drawn alike, a source without a token has rate 0."""
     return mix(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with n_bytes, byte_start and shard, in the order of ids, null ids first."""
     return shard(docs)
 
 
