@@ -3,8 +3,9 @@
 Fingerprints of 128 bits over each document's distinct words are compared
 inside buckets of sampled bits. A bucket's fingerprints are held vertically,
 one 64-lane word for each bit plane; one step compares a fingerprint with 64
-others: the planes are XORed with its bits and added to carry-save counters,
-and a block of lanes is abandoned as soon as all of them exceed the radius.
+others: the planes are XORed with its bits, eight of them at a time go through
+a tree of carry-save adders into bitwise counters, and a block of lanes is
+abandoned as soon as all of them exceed the radius.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ RADIUS = 20
 RECALL = 0.95
 #: Fingerprints of a bucket from which comparisons inside one component are left out.
 LARGE_BUCKET = 2048
-#: Fingerprints that a bucket holds on average.
-BUCKET = 48
+#: Fingerprints that a bucket holds on average: many words of lanes, so that few tables do.
+BUCKET = 1024
 _CELLS = 1 << 15
 _STEP = 8
 _ONE = np.uint64(1)
@@ -76,9 +77,9 @@ def planes_of(bits: np.ndarray) -> np.ndarray:
 def sliced_pairs(bits: np.ndarray, ends: np.ndarray, radius: int, known: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs i < j < ends[i] within radius; rows are sorted so that a bucket is a run of rows, which for row i ends before ends[i]. known: given rows and words, which of these cells to leave out."""
     n, width = bits.shape
-    planes, counters = planes_of(bits), (radius + 1).bit_length()
-    # the counters start at 2**counters - 1 - radius, so that the carry out of the top one says "beyond the radius"
-    begin = (1 << counters) - 1 - radius
+    planes = planes_of(bits)
+    # a row's own bits as words of zeros or ones
+    masks = np.uint64(0) - bits.T.astype(np.uint64)
     start = np.arange(1, n + 1)
     first, last = start // 64, (ends - 1) // 64
     cells = np.where(ends > start, last - first + 1, 0)
@@ -94,29 +95,55 @@ def sliced_pairs(bits: np.ndarray, ends: np.ndarray, radius: int, known: Callabl
             new = ~known(q, w)
             q, w = q[new], w[new]
         for s in range(0, len(q), _CELLS):
-            yield from _cells(bits, planes, q[s : s + _CELLS], w[s : s + _CELLS], ends, counters, begin, width)
+            yield from _cells(masks, planes, q[s : s + _CELLS], w[s : s + _CELLS], ends, radius, width)
 
 
-def _cells(bits, planes, q, w, ends, counters, begin, width):
+def _save(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Carry-save adder: sum and carry of three bits in each lane."""
+    u = a ^ b
+    return u ^ c, (a & b) | (u & c)
+
+
+def _beyond(count: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose counter, of bits from the lowest up, exceeds the radius."""
+    more, same = np.zeros_like(count[0]), np.full_like(count[0], _ALL)
+    for k in range(len(count) - 1, -1, -1):
+        if radius >> k & 1:
+            same &= count[k]
+        else:
+            more |= same & count[k]
+            same &= ~count[k]
+    return more
+
+
+def _cells(masks, planes, q, w, ends, radius, width):
+    """Eight planes at a time go through a tree of carry-save adders into the counters' ones, twos and fours; what leaves it, one bit of weight 8, ripples through the higher counters. After each eight the lanes beyond the radius are known, and words of which all are beyond it, or no pair, are given up."""
     low = np.maximum(q + 1 - 64 * w, 0).astype(np.uint64)
     high = np.minimum(ends[q] - 64 * w, 64)
     lanes = (_ALL << low) & np.where(high >= 64, _ALL, (_ONE << np.minimum(high, 63).astype(np.uint64)) - _ONE)
-    count = [np.full(len(q), _ALL if begin >> k & 1 else 0, np.uint64) for k in range(counters)]
-    over = ~lanes
+    count = [np.zeros(len(q), np.uint64) for _ in range(width.bit_length())]
     for p in range(0, width, _STEP):
-        for k in range(p, p + _STEP):
-            carry = planes[k][w] ^ (np.uint64(0) - bits[q, k].astype(np.uint64))
-            for c in range(counters):
-                count[c], carry = count[c] ^ carry, count[c] & carry
-            over |= carry
-        alive = np.flatnonzero(over != _ALL)
+        d = [planes[k][w] ^ masks[k][q] for k in range(p, p + _STEP)]
+        ones, a = _save(count[0], d[0], d[1])
+        ones, b = _save(ones, d[2], d[3])
+        twos, e = _save(count[1], a, b)
+        ones, a = _save(ones, d[4], d[5])
+        count[0], b = _save(ones, d[6], d[7])
+        count[1], g = _save(twos, a, b)
+        count[2], carry = _save(count[2], e, g)
+        for k in range(3, len(count)):
+            count[k], carry = count[k] ^ carry, count[k] & carry
+        if p + _STEP <= radius:
+            continue
+        lanes = lanes & ~_beyond(count, radius)
+        alive = np.flatnonzero(lanes)
         if not len(alive):
             return
         if len(alive) < 0.8 * len(q):
-            q, w, over, count = q[alive], w[alive], over[alive], [c[alive] for c in count]
-    hit = np.flatnonzero(over != _ALL)
+            q, w, lanes, count = q[alive], w[alive], lanes[alive], [c[alive] for c in count]
+    hit = np.flatnonzero(lanes)
     if len(hit):
-        lane = np.unpackbits((~over[hit]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        lane = np.unpackbits(lanes[hit].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         r, l = np.nonzero(lane)
         yield q[hit][r], w[hit][r] * 64 + l
 
