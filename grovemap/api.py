@@ -7,7 +7,9 @@ from concurrent.futures import ThreadPoolExecutor, TimeoutError
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from grovemap.cluster import cut
 from grovemap.operators import filetree, graph, lod, report
 from grovemap.operators.graph import Graph
 from grovemap.sources.files import scan, to_graph
@@ -22,6 +24,8 @@ class Session:
     def __init__(self, spark: SparkSession, progress: Progress | None = None):
         self.spark, self._tell = spark, progress or (lambda stage, share: None)
         self.graph: Graph | None = None
+        #: Nodes that expand_node has opened and collapse_node has not closed again.
+        self.expanded: set[str] = set()
         self.errors: DataFrame | None = None
         self._files: DataFrame | None = None
         self._snapshot: lod.Snapshot | None = None
@@ -55,14 +59,14 @@ class Session:
     def analyze_with_metrics(self, communities: DataFrame | None = None) -> DataFrame:
         return report.client_metrics(self._need(), communities)
 
-    def run_metrics(self, names: list[str] | None = None, seconds: float | None = None) -> tuple[dict[str, list], dict[str, str]]:
-        """Rows of each measure, side by side, and the errors of those that failed or took longer than `seconds`; their jobs are cancelled."""
+    def run_metrics(self, names: list[str] | None = None, seconds: float | None = None) -> tuple[dict[str, DataFrame], dict[str, str]]:
+        """The table of each measure, written in the shared folder side by side, and the errors of those that failed or took longer than `seconds`; their jobs are cancelled."""
         g, results, errors = self._need(), {}, {}
         names = names or list(report.METRICS)
 
-        def work(name: str, tag: str) -> list:
+        def work(name: str, tag: str) -> DataFrame:
             self.spark.addTag(tag)
-            return report.METRICS[name](g).collect()
+            return cut(report.METRICS[name](g), name)
 
         pool = ThreadPoolExecutor(max(1, len(names)))
         waiting = {n: (tag := f"metric-{uuid4().hex}", pool.submit(work, n, tag)) for n in names}
@@ -87,10 +91,15 @@ class Session:
         return lod.view(self.snapshot(), level)
 
     def expand_node(self, node_id: str, level: int) -> tuple[DataFrame, DataFrame]:
+        self.expanded.add(node_id)
         return lod.expand(self.snapshot(), node_id, level)
 
-    def collapse_node(self, node_id: str) -> tuple[DataFrame, DataFrame]:
-        return lod.collapse(self.snapshot(), node_id)
+    def collapse_node(self, node_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Ids of nodes and of edges to take away, and the bundled edges to bring back. What was opened inside counts as closed too."""
+        nodes, edges = lod.collapse(self.snapshot(), node_id)
+        inside = nodes.filter(F.col("id").isin([*self.expanded, ""])).collect() if self.expanded else []
+        self.expanded -= {node_id, *(r["id"] for r in inside)}
+        return nodes, edges, lod.bundles_of(self.snapshot(), node_id)
 
     def save_graph(self, path: str) -> None:
         """Idempotent: a second save takes the place of the first."""
@@ -104,3 +113,4 @@ class Session:
 
     def reset(self) -> None:
         self.graph = self.errors = self._files = self._snapshot = None
+        self.expanded = set()

@@ -105,11 +105,17 @@ def collapse(s: Snapshot, node_id: str) -> tuple[DataFrame, DataFrame]:
     return gone, reduce(DataFrame.union, hit).distinct()
 
 
-def apply_delta(rows: DataFrame, add: DataFrame | None = None, remove: DataFrame | None = None) -> DataFrame:
-    """rows (id, ...) without the ids of remove, and with those of add that aren't there yet, each once."""
+def bundles_of(s: Snapshot, node_id: str) -> DataFrame:
+    """The bundled edges that closing a package brings back: those between it and other packages. None for other nodes."""
+    return _edges(package_edges(s).filter((F.col("source") == node_id) | (F.col("target") == node_id)), "bundled")
+
+
+def apply_delta(rows: DataFrame, add: DataFrame | None = None, remove: DataFrame | None = None, restore: DataFrame | None = None) -> DataFrame:
+    """rows (id, ...) without the ids of remove, and with those of add, then of restore, that aren't there yet, each once."""
     if remove is not None:
         rows = rows.join(remove.select("id"), "id", "left_anti")
-    if add is None:
-        return rows
-    new = add.select(*rows.columns).dropDuplicates(["id"]).join(rows.select("id"), "id", "left_anti")
-    return rows.unionByName(new)
+    for more in (add, restore):
+        if more is not None:
+            new = more.select(*rows.columns).dropDuplicates(["id"]).join(rows.select("id"), "id", "left_anti")
+            rows = rows.unionByName(new)
+    return rows

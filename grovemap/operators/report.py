@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grovemap.cluster import cut
 from grovemap.functions.exprs import clamp, scaled
 from grovemap.operators import centrality, community, quality, risk
 from grovemap.operators.graph import Graph, degrees, with_degrees
@@ -42,21 +43,25 @@ def long_form(results: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def ranges(g: Graph) -> DataFrame:
-    """One row of least and greatest betweenness, clustering, cyclomatic complexity and in-degree, and constants for the rest."""
-    rows = centrality.betweenness_v1(g).join(centrality.clustering(g), "ix").join(quality.cyclomatic_v1(g), "ix").join(degrees(g), "ix")
+def ranges(g: Graph, between: DataFrame | None = None, clustered: DataFrame | None = None) -> DataFrame:
+    """One row of least and greatest betweenness, clustering, cyclomatic complexity and in-degree, and constants for the rest. between, clustered: these measures, where they are known already."""
+    between = centrality.betweenness_v1(g) if between is None else between
+    clustered = centrality.clustering(g) if clustered is None else clustered
+    rows = between.join(clustered, "ix").join(quality.cyclomatic_v1(g), "ix").join(degrees(g), "ix")
     pair = lambda c, name: (F.coalesce(F.min(c), F.lit(0.0)).alias(f"{name}_min"), F.coalesce(F.max(c), F.lit(1.0)).alias(f"{name}_max"))
     found = rows.agg(*pair("betweenness", "betweenness"), *pair("clustering", "clustering"), *pair("cyclomatic", "cyclomatic"), *pair(F.col("d_in").cast("double"), "in_degree"))
     fixed = {"pagerank_imports": (0.0, 1.0), "pagerank_calls": (0.0, 1.0), "k_core": (0.0, 10.0), "churn": (0.0, 100.0), "owners": (0.0, 10.0), "coverage": (0.0, 1.0)}
     return found.select("*", *[F.lit(v).alias(f"{k}_{end}") for k, pair_ in fixed.items() for end, v in zip(("min", "max"), pair_)])
 
 
-def composites(g: Graph) -> DataFrame:
-    """(ix, importance, chokepoint, risk, payoff)."""
-    between = centrality.betweenness_v1(g)
+def composites(g: Graph, ranked: DataFrame | None = None, between: DataFrame | None = None) -> DataFrame:
+    """(ix, importance, chokepoint, risk, payoff). ranked, between: PageRank and betweenness, where they are known already."""
+    ranked = centrality.pagerank(g) if ranked is None else ranked
+    # stands in the rows and in their range
+    between = cut(centrality.betweenness_v1(g), "between") if between is None else between
     spread = between.agg(F.min("betweenness").alias("lo"), F.max("betweenness").alias("hi"))
     zero, one = F.lit(0.0), F.lit(1.0)
-    scores = g.nodes.select("ix").join(centrality.pagerank(g), "ix").join(between, "ix").join(centrality.degree_v1(g).select("ix", "degree"), "ix", "left").join(risk.risk_v1(g).select("ix", "risk"), "ix").join(risk.chokepoint_v1(g), "ix").crossJoin(F.broadcast(spread))
+    scores = g.nodes.select("ix").join(ranked, "ix").join(between, "ix").join(centrality.degree_v1(g).select("ix", "degree"), "ix", "left").join(risk.risk_v1(g).select("ix", "risk"), "ix").join(risk.chokepoint_v1(g), "ix").crossJoin(F.broadcast(spread))
     importance = 0.5 * scaled(F.col("pagerank"), zero, one) + 0.3 * scaled(F.coalesce("degree", zero), zero, one) + 0.2 * scaled(F.col("betweenness"), F.col("lo"), F.col("hi"))
     out = scores.withColumn("importance", importance)
     return out.select("ix", "importance", "chokepoint", "risk", (0.4 * F.col("risk") + 0.3 * F.col("importance") + 0.3 * F.lit(0.5)).alias("payoff"))
@@ -90,7 +95,9 @@ def summary_v2(g: Graph) -> DataFrame:
 
 def client_metrics(g: Graph, communities: DataFrame | None = None, extra: DataFrame | None = None) -> DataFrame:
     """The nested contract for each node: path (or id), name, type, community, composites, raw and normalised measures, version. extra: (ix, churn, owners, coverage), null where unknown."""
-    rows = with_degrees(g).join(composites(g), "ix").join(centrality.pagerank(g), "ix").join(centrality.betweenness_v1(g), "ix").join(centrality.clustering(g), "ix").join(centrality.core_numbers(g), "ix").join(quality.cyclomatic_v1(g), "ix").crossJoin(F.broadcast(ranges(g)))
+    # each measured once
+    ranked, between, clustered = (cut(f(g), name) for name, f in (("ranked", centrality.pagerank), ("between", centrality.betweenness_v1), ("clustered", centrality.clustering)))
+    rows = with_degrees(g).join(composites(g, ranked, between), "ix").join(ranked, "ix").join(between, "ix").join(clustered, "ix").join(centrality.core_numbers(g), "ix").join(quality.cyclomatic_v1(g), "ix").crossJoin(F.broadcast(ranges(g, between, clustered)))
     if communities is not None:
         rows = rows.join(communities, "ix", "left")
     else:

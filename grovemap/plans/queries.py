@@ -229,11 +229,13 @@ add("lod_expand_edges", "keys", lambda g: lod.expand(lod.snapshot(g), "nation:3"
 add("lod_collapse_nodes", "keys", lambda g: lod.collapse(lod.snapshot(g), "pkg.p2")[0], "SELECT id FROM files WHERE package = 'pkg.p2' UNION SELECT id FROM functions WHERE file IN (SELECT id FROM files WHERE package = 'pkg.p2')", _LOD)
 add("lod_collapse_edges", "keys", lambda g: lod.collapse(lod.snapshot(g), "pkg.p2")[1], "SELECT DISTINCT source || '->' || target AS id FROM (SELECT * FROM imports UNION ALL SELECT * FROM calls) WHERE source IN (SELECT id FROM gone) OR target IN (SELECT id FROM gone)", _LOD + ", gone AS (SELECT id FROM files WHERE package = 'pkg.p2' UNION SELECT id FROM functions WHERE file IN (SELECT id FROM files WHERE package = 'pkg.p2'))")
 add("lod_apply_delta", "keys", lambda g: (lambda s: lod.apply_delta(lod.view(s, 2)[0], add=lod.expand(s, "nation:3", 4)[0], remove=lod.collapse(s, "pkg.p2")[0]))(lod.snapshot(g)), f"{_FILE_OF} WHERE package != 'pkg.p2' UNION ALL SELECT id, label, 'function', file FROM functions WHERE file = 'nation:3'", _LOD)
+add("lod_restored_edges", "keys", lambda g: (lambda s: lod.apply_delta(lod.view(s, 2)[1], remove=lod.collapse(s, "pkg.p2")[1], restore=lod.bundles_of(s, "pkg.p2")))(lod.snapshot(g)), f"""{_IMPORT_EDGES.format("WHERE source NOT IN (SELECT id FROM files WHERE package = 'pkg.p2') AND target NOT IN (SELECT id FROM files WHERE package = 'pkg.p2')")}
+ UNION ALL SELECT a.package || '->' || b.package, a.package, b.package, 'bundled', count(*) FROM imports JOIN files a ON source = a.id JOIN files b ON target = b.id WHERE a.package != b.package AND 'pkg.p2' IN (a.package, b.package) GROUP BY a.package, b.package""", _LOD)
 _TREE = "parts AS (SELECT string_split(file_path, '/') AS p FROM nodes), tree AS (SELECT array_to_string(p[1:i], '/') AS path, any_value(array_to_string(p[1:i - 1], '/')) AS parent, any_value(p[i]) AS name, any_value(i)::BIGINT AS depth, bool_or(i < len(p)) AS is_folder FROM (SELECT p, unnest(range(1, len(p) + 1)) AS i FROM parts) GROUP BY 1)"
 _paths = lambda g: g.nodes.select(F.col("file_path").alias("path"))
 add("file_tree", "keys", lambda g: filetree.tree(_paths(g)), "SELECT path, parent, name, depth, is_folder FROM tree", _TREE)
 add("tree_search", "keys", lambda g: filetree.search(filetree.tree(_paths(g)), "77"), "SELECT path, parent, name, depth, is_folder FROM tree t WHERE contains(name, '77') OR EXISTS (SELECT 1 FROM tree h WHERE contains(h.name, '77') AND starts_with(h.path, t.path || '/'))", _TREE)
-add("common_base", "keys", lambda g: filetree.common_base(_paths(g).filter("path LIKE 'p1/c%'").select(F.concat(F.lit("/x/y/"), "path").alias("path"))), "SELECT '/x/y/p1/customer' AS base")
+add("common_base", "keys", lambda g: filetree.common_base(_paths(g).filter("path LIKE 'p1/c%'").select(F.concat(F.lit("/x/y/"), "path").alias("path"))), "SELECT regexp_replace(left(lo, (SELECT max(k) FROM range(0, 40) AS r(k) WHERE left(lo, k) = left(hi, k))), '/[^/]*$', '') AS base FROM (SELECT min(p) AS lo, max(p) AS hi FROM (SELECT '/x/y/' || file_path AS p FROM nodes WHERE file_path LIKE 'p1/c%'))")
 add("highlight", "keys", lambda g: graph.highlighted(g.nodes.select("ix", "id"), g.nodes.filter("ix % 9 = 0").select("id")), "SELECT ix, id, ix % 9 = 0 AS in_path FROM nodes")
 add("display_marks", "keys", lambda g: graph.display(risk.risk_v2(g).join(g.nodes.select("ix", "id"), "ix").select("id", "risk", (F.col("risk") * 2).alias("chokepoint"), F.col("risk").alias("importance"), (F.col("ix") % 23).alias("community"))), f"SELECT id, r > 0.7 AS is_risky, r * 2 > 0.7 AS is_chokepoint, round(0.5 + 1.5 * r, 6) AS scale, (ix % 23) % 10 AS color_index FROM (SELECT *, {_RISK2}::DOUBLE AS r FROM deg)")
 add("extension_language", "keys", lambda g: g.nodes.select("ix", languages.language_of(F.concat("name", F.element_at(F.array(*[F.lit(x) for x in (".ts", ".py", ".c", ".md", ".jsx", ".h")]), (F.col("ix") % 6 + 1).cast("int")))).alias("language")), "SELECT ix, CASE ix % 6 WHEN 0 THEN 'typescript' WHEN 1 THEN 'python' WHEN 2 THEN 'c' WHEN 4 THEN 'javascript' WHEN 5 THEN 'c' END AS language FROM nodes")

@@ -37,7 +37,11 @@ def test_session(spark, tmp_path):
     assert [r["path"] for r in s.file_tree().collect()] == ["a.py", "b.py"]
     assert {r["id"] for r in s.get_graph_at_lod(4)[0].collect()} == {"function:a.py:g", "function:b.py:f"}
     results, errors = s.run_metrics(["degree", "risk"])
-    assert not errors and len(results["risk"]) == 4
+    assert not errors and results["risk"].count() == 4
+    s.expand_node("pkg.root", 2)
+    s.expand_node("file:a.py", 4)
+    nodes, _, bundles = s.collapse_node("pkg.root")
+    assert {r["id"] for r in nodes.collect()} >= {"file:a.py", "function:a.py:g"} and bundles.count() == 0 and s.expanded == set()
     s.save_graph(f"{tmp_path}/saved")
     s.save_graph(f"{tmp_path}/saved")
     s.reset()
