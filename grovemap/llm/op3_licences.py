@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovemap.llm.common import cut, table
+from grovemap.llm.common import cut, spread, table
 
 #: Spellings that count as one, the second taken; replaced in this order in lower-case text.
 EQUIVALENT = [
@@ -46,6 +46,13 @@ KNOWN = [
     ("CC0-1.0", "Licensed under CC0 1.0."),
 ]
 
+#: Digests of canonical texts too long to stand here: of each the published text, and where that has an appendix on its use, the text up to its last clause's end line.
+DIGESTS = [
+    ("Apache-2.0", "d03e86ac7a1ff3f8d928e1d6027bfd17"), ("Apache-2.0", "2f973fce6821968caa77d834b80cee7c"), ("Artistic-1.0-Perl", "01297679267ad921516667ccd889865e"), ("CC0-1.0", "93a180096f6cfcf2c0dd24f75c2eec48"), ("GFDL-1.2-only", "49ffacd2fea52c0c124f0d16bc990c74"), ("GFDL-1.3-only", "2d7ce083c264cf7f093acc742260e501"),
+    ("GPL-1.0-only", "738cc3b112640d95d4cd79a58967ecea"), ("GPL-1.0-only", "dbf3c47f5a8f127e58d08cabc1ebb916"), ("GPL-2.0-only", "5e39ace6e62f5a7fe9c17b4da986ad8c"), ("GPL-2.0-only", "68380dbeadb093b94ecf563db7312db7"), ("GPL-3.0-only", "b79359b5e391fd47146ff34ae3db7ec0"), ("GPL-3.0-only", "444f95dc767ede978b60cfb20fbd0bca"),
+    ("LGPL-2.0-only", "74cf7fcef3b29a39165a795b2cad3a3a"), ("LGPL-2.0-only", "c396ba2f94537628797123bc12cd2d6e"), ("LGPL-2.1-only", "f998bc436710cfece156aaa84fd26dd4"), ("LGPL-2.1-only", "3054b3781b1af43f906dc753acad15ee"), ("LGPL-3.0-only", "b31b7335bc37919e8cdd79154e04d88d"), ("MPL-1.1", "9fa8ae3e869a929215034d82982372b5"), ("MPL-2.0", "7d4b8b0889da3c01eff3fe431102e6d6"),
+]
+
 
 def canonical(text: Column) -> Column:
     """Normalised text, its lines kept. Null stays null."""
@@ -60,11 +67,12 @@ def _flat(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "[ \n]+", " "))
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(_gm_known, licence), one row for each digest: of licences that share one the first by name."""
-    texts = spark.createDataFrame(known, "licence string, text string")
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN, digests: list[tuple[str, str]] = DIGESTS) -> DataFrame:
+    """(_gm_known, licence), one row for each digest of known (licence, text) or digests (licence, digest): of licences that share one the first by name."""
+    texts = spark.createDataFrame(known, "licence string, text string").select("licence", F.md5(_flat(canonical(F.col("text")))).alias("_gm_known"))
+    rows = texts.unionByName(spark.createDataFrame(digests, "licence string, _gm_known string")) if digests else texts
     # written out, its size is known to the planner
-    return cut(texts.groupBy(F.md5(_flat(canonical(F.col("text")))).alias("_gm_known")).agg(F.min("licence").alias("licence")), "licences")
+    return cut(rows.groupBy("_gm_known").agg(F.min("licence").alias("licence")), "licences")
 
 
 def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,14 +80,15 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
 
     licence is null and notices empty where nothing matches. A null text has
     a null digest; texts that are empty once normalised have the digest of the
-    empty text, which is no licence's. Rows of one id with one canonical text
-    give one row; other columns are ignored. known: known_digests() or a table
+    empty text, which is no licence's. Texts of any length are read to their
+    end. A null id is passed on. Rows of one id with one canonical text give
+    one row; an empty table gives none; other columns are ignored. known: known_digests() or a table
     like it, which Spark broadcasts only if it finds it small.
 
     Units that match nothing are dropped right after the join, so that about
     one narrow row for each document is shuffled.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), canonical(F.col(text_col).cast("string")).alias("_gm_text"))
+    base = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("doc_id"), canonical(F.col(text_col).cast("string")).alias("_gm_text"))
     whole = F.struct(F.lit(True).alias("whole"), F.md5(_flat(F.col("_gm_text"))).alias("digest"))
     lines = F.transform(F.split("_gm_text", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), F.md5(F.trim(x)).alias("digest")))
     units = base.select("doc_id", F.md5("_gm_text").alias("_gm_key"), F.explode(F.concat(F.array(whole), F.coalesce(lines, F.array().cast("array<struct<whole:boolean,digest:string>>")))).alias("u")).select("doc_id", "_gm_key", "u.*")
@@ -92,7 +101,14 @@ def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"), known_digests(spark))
 
 
-def _sql() -> str:
+def licence_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan of the documents together with the known texts, each in upper case below a copyright line and with commas for full stops, and once with a word too many."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    dressed = [(-2 * k - 1, "Copyright (c) 2019 Some Holder\n\n" + text.upper().replace(".", " ,")) for k, (_, text) in enumerate(KNOWN)] + [(-2 * k - 2, text + " more") for k, (_, text) in enumerate(KNOWN)]
+    return scan(docs.unionByName(spark.createDataFrame(dressed, "doc_id long, text string")), known_digests(spark))
+
+
+def _sql(more: bool = False) -> str:
     def norm(x: str) -> str:
         t = f"lower({x})"
         for old, new in EQUIVALENT:
@@ -101,9 +117,15 @@ def _sql() -> str:
 
     flat = r"md5(trim(regexp_replace({}, '[ \n]+', ' ', 'g')))"
     quoted = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in KNOWN)
+    digests = ", ".join(f"('{a}', '{b}')" for a, b in DIGESTS)
+    docs = "documents"
+    if more:
+        # the same texts as in licence_texts(), made by SQL
+        docs = f"(SELECT doc_id, text FROM documents UNION ALL SELECT -2 * k - 1, 'Copyright (c) 2019 Some Holder' || chr(10) || chr(10) || replace(upper(t), '.', ' ,') FROM v UNION ALL SELECT -2 * k - 2, t || ' more' FROM v)"
     return f"""
-WITH k AS (SELECT {flat.format(norm("t"))} AS known, min(licence) AS licence FROM (VALUES {quoted}) AS v(licence, t) GROUP BY 1),
-b AS (SELECT doc_id, {norm("text")} AS t FROM documents),
+WITH v AS (SELECT row_number() OVER () - 1 AS k, licence, t FROM (VALUES {quoted}) AS q(licence, t)),
+k AS (SELECT known, min(licence) AS licence FROM (SELECT licence, {flat.format(norm("t"))} AS known FROM v UNION ALL SELECT * FROM (VALUES {digests}) AS d(licence, known)) GROUP BY known),
+b AS (SELECT doc_id, {norm("text")} AS t FROM {docs}),
 l AS (SELECT b.doc_id, b.t, k.licence FROM (SELECT doc_id, t, unnest(string_split(t, chr(10))) AS line FROM b) AS b JOIN k ON md5(trim(line)) = k.known),
 n AS (SELECT doc_id, t, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices FROM l GROUP BY doc_id, t)
 SELECT DISTINCT b.doc_id, {flat.format("b.t")} AS digest, k.licence AS licence, coalesce(n.notices, '') AS notices
@@ -111,4 +133,4 @@ FROM b LEFT JOIN k ON {flat.format("b.t")} = k.known LEFT JOIN n ON n.doc_id = b
 """
 
 
-SQL = _sql()
+SQL, TEXTS_SQL = _sql(), _sql(True)

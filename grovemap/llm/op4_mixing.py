@@ -50,8 +50,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, default: float
     are drawn alike, and rows with a null id share one draw. Null and empty
     texts count no token but are emitted at their source's rate; where a source
     has no token at all its rate is 0. The null source is a source with the
-    default weight. Extra columns pass through; one of copy_col's name is
-    replaced.
+    default weight. Texts of any length are counted whole; an empty table gives
+    no row. Extra columns pass through; one of copy_col's name is replaced.
     """
     # The table of rates has a row for each source. Written out, its size is known to the planner, which broadcasts it if that allows; else the join shuffles, and AQE splits hot sources.
     r = cut(rates(docs, weights, default, budget), "rates").select(F.col("_gm_source"), F.col("rate").alias("_gm_rate"))
