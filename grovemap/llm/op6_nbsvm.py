@@ -78,6 +78,25 @@ class Model:
         return out
 
 
+def dual_descent(values: list[np.ndarray], at: list[np.ndarray], sides: np.ndarray, cost: np.ndarray, dim: int, rng: np.random.Generator, epochs: int = EPOCHS) -> tuple[np.ndarray, float, np.ndarray]:
+    """(w, bias, alpha) of the linear hinge-loss model: least (|w|^2 + bias^2) / 2 + sum of cost * max(0, 1 - side * (w x + bias)), by dual coordinate descent in random order over rows with values at features."""
+    w, bias, alpha = np.zeros(dim), 0.0, np.zeros(len(values))
+    square = [x @ x + 1 for x in values]
+    for _ in range(epochs):
+        worst = 0.0
+        for i in rng.permutation(len(values)).tolist():
+            x, y = values[i], sides[i]
+            gradient = y * (w[at[i]] @ x + bias) - 1
+            new = min(max(alpha[i] - gradient / square[i], 0.0), cost[i])
+            if step := (new - alpha[i]) * y:
+                worst, alpha[i] = max(worst, abs(step)), new
+                w[at[i]] += step * x
+                bias += step
+        if worst < 1e-3:
+            break
+    return w, bias, alpha
+
+
 def fit(rows: list[np.ndarray], good: np.ndarray, seed: int = 11) -> Model | None:
     """Model from the feature ids of each document; None unless both classes occur."""
     rng = np.random.default_rng(seed)
@@ -93,23 +112,9 @@ def fit(rows: list[np.ndarray], good: np.ndarray, seed: int = 11) -> Model | Non
         np.add.at(c, np.concatenate([rows[i] for i in train if good[i] == kind]), 1)
         counts.append(c / c.sum())
     ratio = np.log(counts[0] / counts[1])
-    values = {i: ratio[rows[i]] / np.sqrt(len(rows[i])) for i in train}
     share = good[train].mean()
-    cost = {True: COST * 0.5 / share, False: COST * 0.5 / (1 - share)}
-    w, bias, alpha = np.zeros(1 << DIM_BITS), 0.0, dict.fromkeys(train.tolist(), 0.0)
-    square = {i: values[i] @ values[i] + 1 for i in train}
-    for _ in range(EPOCHS):
-        worst = 0.0
-        for i in rng.permutation(train).tolist():
-            y, x, at = (1.0 if good[i] else -1.0), values[i], rows[i]
-            gradient = y * (w[at] @ x + bias) - 1
-            new = min(max(alpha[i] - gradient / square[i], 0.0), cost[bool(good[i])])
-            if step := (new - alpha[i]) * y:
-                worst, alpha[i] = max(worst, abs(step)), new
-                w[at] += step * x
-                bias += step
-        if worst < 1e-3:
-            break
+    cost = np.where(good[train], COST * 0.5 / share, COST * 0.5 / (1 - share))
+    w, bias, _ = dual_descent([ratio[rows[i]] / np.sqrt(len(rows[i])) for i in train], [rows[i] for i in train], np.where(good[train], 1.0, -1.0), cost, 1 << DIM_BITS, rng)
     model = Model((w * ratio).astype(np.float32), bias, 0.0)
     margins = np.sort([model.weights[rows[i]].sum() / np.sqrt(max(1, len(rows[i]))) + bias if len(rows[i]) else 0.0 for i in test if good[i]])
     if len(margins):
@@ -124,14 +129,16 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, doc, feature in ngrams(batch.column(2).to_pylist()):
+            texts = batch.column(2).to_pylist()
+            for a, b, doc, feature in ngrams(texts):
                 offsets = np.searchsorted(doc, np.arange(b - a + 1))
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(feature.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), lists], ["id", "good", "features"])
+                order = pa.array([xxhash.xxh3_64_intdigest(t or "") >> 1 for t in texts[a:b]], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), order, batch.column(1).slice(a, b - a), lists], ["id", "text", "good", "features"])
 
     # the sample is bounded by `limit`, so that it can be sent to the documents whatever their number
     texts = spread(docs.select(F.col("doc_id").cast("long").alias("_gm_id"), F.col("text").cast("string").alias("_gm_text"))).join(F.broadcast(chosen), "_gm_id")
-    found = texts.select("_gm_id", "_gm_good", "_gm_text").mapInArrow(tidy(run), "id long, good int, features array<int>").toArrow().sort_by("id")
+    found = texts.select("_gm_id", "_gm_good", "_gm_text").mapInArrow(tidy(run), "id long, text long, good int, features array<int>").toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
     rows = [x.values.to_numpy().astype(np.int64) for x in found["features"]]
     return rows, np.array(found["good"].to_pylist(), dtype=int) > 0
 
@@ -164,7 +171,9 @@ def good_documents(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED
     The model is fitted on labelled rows of docs itself. A text without a
     token (null, empty) has no evidence against it and stays, as does every row
     when the labels lack a class or no labelled document is there. Each row is
-    judged by its own text, so that repeated rows meet the same fate.
+    judged by its own text, read to its end, so that repeated rows meet the
+    same fate, and rows of one id with different texts each their own; all of
+    those are fitted on. An empty table stays empty.
     """
     model = train(docs, labels, limit)
     return spread(docs).filter(margin(model, F.col("text").cast("string")) >= 0)
