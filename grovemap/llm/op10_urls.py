@@ -8,21 +8,25 @@ the words of host and path.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
+from collections.abc import Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovemap.llm.common import cut, table
+from grovemap.llm.common import cut, least_hashed, table
 
-#: Letters of the longest word in a host label.
-LONGEST = 20
+#: Letters that a label of a host name may have (RFC 1035). A longer run of letters is no host name and stays one word.
+LABEL_LETTERS = 63
 #: Candidate words up to which their table is sent to the words of the documents; beyond, the words are counted first and both sides shuffled.
 SMALL_TABLE = 200_000
 #: Log odds above which a URL is blocked, and the prior probability of a bad one.
 CUTOFF = 0.0
 PRIOR_BAD = 0.1
+#: Most labelled URLs that a table of them is to give.
+MAX_LABELLED = 20_000
 #: Share of the corpus that a word of the labelled URLs counts for, at least.
 SEED_SHARE = 1e-6
 BAD = [
@@ -55,10 +59,13 @@ def label_parts(host: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(host, "[.][^.]*$", ""), F.lit(r"\p{L}+"), F.lit(0))
 
 
-def plain_words(urls: list[str]) -> list[list[str]]:
-    import re
-
-    return [re.findall(r"[^\W\d_]+", u.replace(".test", "").lower()) for u in urls]
+def plain_words(urls: Iterable[str]) -> list[list[str]]:
+    """Runs of letters of each URL, in lower case, without its top-level domain."""
+    out = []
+    for u in urls:
+        host, slash, path = re.sub("^[A-Za-z][A-Za-z0-9+.-]*://", "", u).lower().partition("/")
+        out.append(re.findall(r"[^\W\d_]+", re.sub("[.][^.]*$", "", host) + slash + path))
+    return out
 
 
 def seed_words() -> list[str]:
@@ -73,7 +80,7 @@ def viterbi(label: str, count: dict[str, float], total: float) -> list[str]:
     back = [0] * (len(label) + 1)
     log_total = math.log(total)
     for end in range(1, len(label) + 1):
-        for start in range(max(0, end - LONGEST), end):
+        for start in range(end):
             n = count.get(label[start:end], 0)
             score = best[start] + (math.log(n) if n > 0 else -(end - start) * math.log(10)) - log_total
             if score > best[end]:
@@ -85,15 +92,22 @@ def viterbi(label: str, count: dict[str, float], total: float) -> list[str]:
     return words[::-1]
 
 
-def train() -> dict[str, float]:
+def train(bad: Sequence[str] = BAD, good: Sequence[str] = GOOD) -> dict[str, float]:
     """Log odds of each word of the labelled URLs, by multinomial naive Bayes with add-one smoothing; words of neither class have none."""
     seeds = dict.fromkeys(seed_words(), 1.0)
-    counts = [Counter(w for part in plain_words(urls) for chunk in part for w in viterbi(chunk, seeds, 1000.0)) for urls in (BAD, GOOD)]
+    counts = [Counter(w for part in plain_words(urls) for chunk in part for w in viterbi(chunk, seeds, 1000.0)) for urls in (bad, good)]
     vocabulary = sorted(set(counts[0]) | set(counts[1]))
     sums = [sum(c.values()) + len(vocabulary) + 1 for c in counts]
     return {w: math.log((counts[0][w] + 1) / sums[0]) - math.log((counts[1][w] + 1) / sums[1]) for w in vocabulary}
 
 
+def labelled_urls(urls: DataFrame, limit: int = MAX_LABELLED) -> tuple[list[str], list[str]]:
+    """Bad and good URLs of a table (url, bad), at most `limit` in all, in the order of a hash; one with both labels counts as good."""
+    one = urls.filter("url IS NOT NULL AND bad IS NOT NULL").groupBy(F.col("url").cast("string").alias("url")).agg(F.min(F.col("bad").cast("boolean")).alias("bad"))
+    rows = sorted(map(tuple, least_hashed(one, "url", limit).collect()))
+    return [u for u, b in rows if b], [u for u, b in rows if not b]
+
+
 def word_counts(docs: DataFrame, candidates: DataFrame) -> tuple[DataFrame, int]:
     """(sub, n) of each candidate found among the words of all documents, and the number of all words."""
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(r"\p{L}+"), F.lit(0))).alias("sub"))
@@ -108,8 +122,9 @@ def word_counts(docs: DataFrame, candidates: DataFrame) -> tuple[DataFrame, int]
 
 def segmented(parts: DataFrame, docs: DataFrame) -> DataFrame:
     """(part, words) of each distinct part."""
-    subs = F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("part")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("part") - i + 1)), lambda n: F.substring(F.col("part"), i, n))))))
-    pairs = parts.select("part", subs.alias("sub"))
+    subs = F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("part")), lambda i: F.transform(F.sequence(F.lit(1), F.length("part") - i + 1), lambda n: F.substring(F.col("part"), i, n))))))
+    names, rest = parts.filter(F.length("part") <= LABEL_LETTERS), parts.filter(F.length("part") > LABEL_LETTERS)
+    pairs = names.select("part", subs.alias("sub"))
     counts, total = word_counts(docs, pairs.select("sub").distinct())
     seeds = {w: max(1.0, SEED_SHARE * total) for w in seed_words()}
     found = pairs.join(counts, "sub").groupBy("part").agg(F.collect_list(F.struct("sub", "n")).alias("known"))
@@ -124,20 +139,23 @@ def segmented(parts: DataFrame, docs: DataFrame) -> DataFrame:
             out.append(viterbi(label, count, max(float(total), 1000.0)))
         return pd.Series(out)
 
-    return parts.join(found, "part", "left").select("part", split("part", "known").alias("words"))
+    return names.join(found, "part", "left").select("part", split("part", "known").alias("words")).unionByName(rest.select("part", F.array("part").alias("words")))
 
 
-def score_urls(pages: DataFrame, docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+def score_urls(pages: DataFrame, docs: DataFrame, cutoff: float = CUTOFF, odds: dict[str, float] | None = None) -> DataFrame:
     """(page_id, host_words, log_odds, blocked) of each page.
 
     host_words: the words of the host's labels without the top-level domain,
     joined by spaces. log_odds: the prior's plus that of each host and path
     word, a word as often as it occurs. A null or empty URL has no word, hence
     the prior's odds. Repeated pages give repeated rows; other columns are
-    ignored; without documents the labelled URLs' words alone are known. Hosts
-    are segmented once each, however many pages they have.
+    ignored; without documents the labelled URLs' words alone are known, and an
+    empty table of pages gives no row. Hosts are segmented once each, however
+    many pages they have; URLs are read to their end, and a run of more than
+    LABEL_LETTERS letters in the place of a host name stays one word. odds: of
+    words, as train() gives them for labelled URLs, by default the module's.
     """
-    odds = train()
+    odds = train() if odds is None else odds
     urls = pages.select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("_gm_url"))
     urls = urls.select("page_id", host_of(F.col("_gm_url")).alias("host"), path_words(F.col("_gm_url")).alias("path"))
     hosts = urls.select("host").distinct().select("host", F.posexplode(label_parts(F.col("host"))).alias("at", "part"))
