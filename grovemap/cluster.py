@@ -21,17 +21,27 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="grovemap-"))
 
 
+def _at(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder, removed when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/grovemap/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    system, where = _at(spark, path)
+    system.deleteOnExit(where)
     return path
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: later plans start from files instead of recomputing. Removed when the driver's JVM ends."""
-    path = scratch(df.sparkSession, label)
+def cut(df: DataFrame, label: str, instead: DataFrame | None = None) -> DataFrame:
+    """df written as Parquet in the shared folder and read back: later plans start from files instead of recomputing. Removed when the driver's JVM ends; instead: a table that an earlier cut returned and nothing but df still needs, which is removed now, so that loops don't fill the folder."""
+    spark = df.sparkSession
+    path = scratch(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    if old := getattr(instead, "_cut_at", None):
+        system, where = _at(spark, old)
+        system.delete(where, True)
+    return out

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from grovemap.cluster import cut
 from grovemap.functions.exprs import clamp, ratio
 from grovemap.operators.graph import Graph, degrees
-from grovemap.operators.primitives import all_distances, distances, in_one_task, is_small, place_of
+from grovemap.operators.primitives import distances, in_one_task, is_small, level_sizes, place_of
 
 #: Rounds of a loop between two cuts of its lineage.
 CUT_EVERY = 6
@@ -60,8 +60,7 @@ def pagerank(g: Graph, rounds: int = 30, damping: float = 0.85, tolerance: float
             return {"ix": ix, "pagerank": r}
 
         return in_one_task(rank, shares.withColumnRenamed("share", "w"), solve, "ix long, pagerank double")
-    rank = rank.withColumn("r", F.lit(1.0 / n))
-    every = rank.select("ix")
+    every, rank, last = rank, rank.withColumn("r", F.lit(1.0 / n)), None
     for i in range(1, rounds + 1):
         got = rank.selectExpr("ix AS rx", "r AS rr").join(shares, F.col("rx") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rr") * F.col("share")).alias("got"))
         new = F.lit(base) + F.lit(damping) * F.coalesce("got", F.lit(0.0))
@@ -69,12 +68,12 @@ def pagerank(g: Graph, rounds: int = 30, damping: float = 0.85, tolerance: float
             # the list of nodes stands on the left, not the rank before, so that a round names it once
             rank = every.join(got, F.col("ix") == F.col("dst"), "left").select("ix", new.alias("r"))
             if i % CUT_EVERY == 0 or i == rounds:
-                rank = cut(rank, "rank")
+                rank = last = cut(rank, "rank", last)
             continue
         step = rank.join(got, F.col("ix") == F.col("dst"), "left")
-        done = cut(step.select("ix", clamp(new).alias("r"), F.abs(clamp(new) - F.col("r")).alias("moved")), "rank")
-        rank = done.select("ix", "r")
-        if done.agg(F.max("moved")).first()[0] < tolerance:
+        last = cut(step.select("ix", clamp(new).alias("r"), F.abs(clamp(new) - F.col("r")).alias("moved")), "rank", last)
+        rank = last.select("ix", "r")
+        if last.agg(F.max("moved")).first()[0] < tolerance:
             break
     return rank.select("ix", F.col("r").alias("pagerank"))
 
@@ -116,10 +115,10 @@ def betweenness_v2(g: Graph, samples: int = 1000, use_sampling: bool = True) ->
     return g.nodes.select("ix").join(score, F.col("ix") == F.col("t"), "left").crossJoin(F.broadcast(top)).select("ix", ratio(F.coalesce("b", F.lit(0)), F.coalesce("top", F.lit(0))).alias("betweenness"))
 
 
-def closeness(g: Graph, normalised: bool = False, pairs: DataFrame | None = None) -> DataFrame:
+def closeness(g: Graph, normalised: bool = False) -> DataFrame:
     """(ix, closeness): nodes reached over the sum of their distances; 0 if none, 1 if the graph has one node. normalised: clamped and divided by the largest."""
-    pairs = all_distances(g.nodes, g.edges) if pairs is None else pairs
-    sums = pairs.filter("d > 0").groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.sum("d").alias("total"))
+    sizes = level_sizes(g.nodes, g.edges).filter("d > 0").withColumnRenamed("n", "many")
+    sums = sizes.groupBy("s").agg(F.sum("many").alias("k"), F.sum(F.col("d") * F.col("many")).alias("total"))
     out = g.nodes.select("ix").join(sums, F.col("ix") == F.col("s"), "left").crossJoin(F.broadcast(size_of(g)))
     value = F.when(F.col("n") <= 1, F.lit(1.0)).otherwise(ratio(F.coalesce("k", F.lit(0)), F.coalesce("total", F.lit(0))))
     plain = out.select("ix", value.alias("closeness"))
@@ -155,10 +154,10 @@ def eigenvector(g: Graph, rounds: int = 100, tolerance: float = 1e-6) -> DataFra
 
         found = cut(in_one_task(every, links, solve, "ix long, eigenvector double"), "vector")
         return degree_v1(g).select("ix", F.col("degree").alias("eigenvector")) if found.filter("isnan(eigenvector)").head(1) else found
-    x, before = cut(every.select("ix", F.lit(1.0 / n).alias("x")), "vector"), 0.0
+    x, raw, before = every.select("ix", F.lit(1.0 / n).alias("x")), None, 0.0
     for _ in range(rounds):
         got = x.selectExpr("ix AS vx", "x AS vv").join(links, F.col("vx") == F.col("dst")).groupBy("src").agg(F.sum(F.col("w") * F.col("vv")).alias("got"))
-        raw = cut(x.join(got, F.col("ix") == F.col("src"), "left").select("ix", F.coalesce("got", F.lit(0.0)).alias("x")), "vector")
+        raw = cut(x.join(got, F.col("ix") == F.col("src"), "left").select("ix", F.coalesce("got", F.lit(0.0)).alias("x")), "vector", raw)
         norm = raw.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0]
         if norm is None or norm != norm or norm <= 1e-10:
             return degree_v1(g).select("ix", F.col("degree").alias("eigenvector"))

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from grovemap.cluster import cut
 from grovemap.operators.centrality import size_of
 from grovemap.operators.graph import Graph
-from grovemap.operators.primitives import all_distances, distances, is_small, per_source, reached
+from grovemap.operators.primitives import distances, is_small, level_sizes, per_source, reached
 
 
 def impact_probability(g: Graph) -> DataFrame:
     """(ix, probability): 0.7 ** distance over the nodes that reach the node within 4 steps, itself included, over n; 1 at most."""
-    near = all_distances(g.nodes, g.edges, most=4, backward=True)
-    return near.groupBy("s").agg(F.sum(F.pow(F.lit(0.7), F.col("d"))).alias("w")).crossJoin(F.broadcast(size_of(g))).select(F.col("s").alias("ix"), F.least(F.col("w") / F.col("n"), F.lit(1.0)).alias("probability"))
+    near = level_sizes(g.nodes, g.edges, most=4, backward=True)
+    return near.groupBy("s").agg(F.sum(F.pow(F.lit(0.7), F.col("d")) * F.col("n")).alias("w")).crossJoin(F.broadcast(size_of(g))).select(F.col("s").alias("ix"), F.least(F.col("w") / F.col("n"), F.lit(1.0)).alias("probability"))
 
 
 def direct(g: Graph) -> DataFrame:

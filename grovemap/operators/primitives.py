@@ -45,8 +45,8 @@ def reached(first: np.ndarray, to: np.ndarray, front: np.ndarray) -> np.ndarray:
     return np.unique(to[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[front] - ends + many, many)])
 
 
-def per_source(steps: DataFrame, sources: DataFrame, visit: Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]], itself: bool) -> DataFrame:
-    """(s, t, d): for each of sources (s) what visit(first, to, its place) returns as (places, d), over steps sent to all tasks. A source without a step has itself at 0, or nothing."""
+def per_source(steps: DataFrame, sources: DataFrame, visit: Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]], itself: bool, named: bool = True) -> DataFrame:
+    """(s, t, d): for each of sources (s) what visit(first, to, its place) returns as (places, d), over steps sent to all tasks. A source without a step has itself at 0, or nothing. Without named, t is a number that visit counts instead of a place, 1 for the source itself."""
     spark = steps.sparkSession
     graph = sent(steps)
 
@@ -62,9 +62,9 @@ def per_source(steps: DataFrame, sources: DataFrame, visit: Callable[[np.ndarray
                 at = int(np.searchsorted(names, s))
                 if at < len(names) and names[at] == s:
                     places, d = visit(first, to, at)
-                    t = names[places]
+                    t = names[places] if named else places
                 elif itself:
-                    t, d = np.array([s], np.int64), np.zeros(1, np.int32)
+                    t, d = np.array([s if named else 1], np.int64), np.zeros(1, np.int32)
                 else:
                     continue
                 parts.append((np.full(len(t), s, np.int64), t, d.astype(np.int32)))
@@ -121,6 +121,22 @@ def distances(edges: DataFrame, sources: DataFrame, most: int | None = None, bac
     return walked(steps, sources.selectExpr("s", "s AS t", "s AS barred").distinct(), most, False)
 
 
+def level_sizes(nodes: DataFrame, edges: DataFrame, most: int | None = None, backward: bool = False) -> DataFrame:
+    """(s, d, n): how many nodes each node (ix) of nodes has at each distance, without a row for each pair where the graph is small."""
+    a, b = ("dst", "src") if backward else ("src", "dst")
+    steps = cut(edges.select(F.col(a).alias("ea"), F.col(b).alias("eb")).distinct(), "steps")
+    sources = nodes.selectExpr("ix AS s")
+    if is_small(steps):
+        search = _search(most)
+
+        def sizes(first: np.ndarray, to: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+            n = np.bincount(search(first, to, at)[1])
+            return n, np.arange(len(n))
+
+        return per_source(steps, sources, sizes, True, named=False).selectExpr("s", "d", "t AS n")
+    return walked(steps, sources.selectExpr("s", "s AS t", "s AS barred").distinct(), most, False).groupBy("s", "d").agg(F.count(F.lit(1)).alias("n"))
+
+
 def walked(steps: DataFrame, start: DataFrame, most: int | None, bar: bool) -> DataFrame:
     """(s, t, d), or (barred, s, t, d) if bar: distances from start (s, t, barred) along steps (ea, eb) by one join a level; with bar never into the row's barred node."""
     keys = ["barred", "s", "t"] if bar else ["s", "t"]
@@ -175,7 +191,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         both = stars.unionByName(stars.selectExpr("v AS u", "u AS v"))
         large = both.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u")))).filter("v > u").selectExpr("v AS u", "m AS v").distinct()
         low = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
-        stars = cut(low.selectExpr("explode(array(struct(u AS u, m AS v), struct(v AS u, m AS v))) AS e").selectExpr("e.u", "e.v").filter("u != v").distinct(), "stars")
+        stars = cut(low.selectExpr("explode(array(struct(u AS u, m AS v), struct(v AS u, m AS v))) AS e").selectExpr("e.u", "e.v").filter("u != v").distinct(), "stars", stars)
         now = stars.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == seen:
             break
@@ -252,7 +268,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             core = heads.join(tails, "k", "left_semi")
             kept = left.join(core.selectExpr("k AS ka"), F.col("ea") == F.col("ka"), "left_semi").join(core.selectExpr("k AS kb"), F.col("eb") == F.col("kb"), "left_semi")
             before = left.count()
-            left = cut(kept, "left")
+            left = cut(kept, "left", left)
             if left.count() == before:
                 break
         if left.isEmpty():

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from grovemap.functions.exprs import clamp, log_or_low, ratio, same_module
 from grovemap.operators.centrality import neighbours
 from grovemap.operators.graph import Graph, triplets, with_degrees
-from grovemap.operators.primitives import all_distances
+from grovemap.operators.primitives import level_sizes
 
 UNITS = ["file", "module", "class"]
 
@@ -53,7 +53,7 @@ def cohesion_v2(g: Graph) -> DataFrame:
 
 def depth_v1(g: Graph) -> DataFrame:
     """(ix, depth): steps to the farthest node that reaches it. (Breadth-first, where the original takes depths in the order of a stack.)"""
-    far = all_distances(g.nodes, g.edges, backward=True).groupBy("s").agg(F.max("d").alias("depth"))
+    far = level_sizes(g.nodes, g.edges, backward=True).groupBy("s").agg(F.max("d").alias("depth"))
     return far.select(F.col("s").alias("ix"), F.col("depth").cast("long").alias("depth"))
 
 
