@@ -78,8 +78,8 @@ def sliced_pairs(bits: np.ndarray, ends: np.ndarray, radius: int, known: Callabl
     """All pairs i < j < ends[i] within radius; rows are sorted so that a bucket is a run of rows, which for row i ends before ends[i]. known: given rows and words, which of these cells to leave out."""
     n, width = bits.shape
     planes = planes_of(bits)
-    # a row's own bits as words of zeros or ones
-    masks = np.uint64(0) - bits.T.astype(np.uint64)
+    # a row's own bits as bytes of zeros or ones, which widen to such words
+    masks = -np.ascontiguousarray(bits.T).view(np.int8)
     start = np.arange(1, n + 1)
     first, last = start // 64, (ends - 1) // 64
     cells = np.where(ends > start, last - first + 1, 0)
@@ -123,7 +123,7 @@ def _cells(masks, planes, q, w, ends, radius, width):
     lanes = (_ALL << low) & np.where(high >= 64, _ALL, (_ONE << np.minimum(high, 63).astype(np.uint64)) - _ONE)
     count = [np.zeros(len(q), np.uint64) for _ in range(width.bit_length())]
     for p in range(0, width, _STEP):
-        d = [planes[k][w] ^ masks[k][q] for k in range(p, p + _STEP)]
+        d = [planes[k][w] ^ masks[k][q].astype(np.int64).view(np.uint64) for k in range(p, p + _STEP)]
         ones, a = _save(count[0], d[0], d[1])
         ones, b = _save(ones, d[2], d[3])
         twos, e = _save(count[1], a, b)
