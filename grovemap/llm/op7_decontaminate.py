@@ -109,18 +109,46 @@ class Segment:
         return np.searchsorted(self.starts, place, "right") - 1
 
 
+class Items:
+    """The items of a pass, with their phrases and distinct terms end to end, so that a segment tells at once which of them can occur in it."""
+
+    def __init__(self, items: list[Item]):
+        self.items = items
+        self.by_size: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for size in sorted({x.size for x in items}):
+            own = [k for k, x in enumerate(items) if x.size == size]
+            self.by_size.append((np.concatenate([np.full(len(items[k].phrases), k) for k in own]), np.concatenate([np.arange(len(items[k].phrases)) for k in own]), np.concatenate([items[k].phrases for k in own])))
+        self.rare = np.concatenate([x.rare for x in items]) if items else np.zeros(0, np.int64)
+        self.first = np.cumsum([0, *(len(x.rare) for x in items)])[:-1]
+        self.need = np.array([x.need for x in items])
+
+    def phrases(self, rows: np.ndarray) -> Iterator[tuple[Item, list[int]]]:
+        """Items with the phrases of which all terms occur; rows: of each term, or -1."""
+        for owner, number, terms in self.by_size:
+            # from the rarest term on, as most phrases fail there
+            left = np.flatnonzero(rows[terms[:, 0]] >= 0)
+            left = left[(rows[terms[left]] >= 0).all(axis=1)]
+            if len(left):
+                cuts = np.flatnonzero(np.diff(owner[left])) + 1
+                for part in np.split(left, cuts):
+                    yield self.items[owner[part[0]]], number[part].tolist()
+
+    def windows(self, rows: np.ndarray) -> Iterator[Item]:
+        """Items of whose distinct terms enough occur for a proximity window."""
+        if len(self.items):
+            for k in np.flatnonzero(np.add.reduceat((rows[self.rare] >= 0).astype(np.int64), self.first) >= self.need).tolist():
+                yield self.items[k]
+
+
 class Item:
     """A benchmark item: its terms as numbers into the pass's term list, and the order in which to intersect them."""
 
     def __init__(self, item_id: int, terms: list[int], number: dict[int, int], frequency: np.ndarray):
         self.id, self.terms = item_id, np.array([number[t] for t in terms])
-        size = min(PHRASE, len(terms))
-        self.phrases = []
-        for k in range(len(terms) - size + 1):
-            part = self.terms[k : k + size]
-            order = np.argsort(frequency[part], kind="stable")
-            self.phrases.append((k, part[order].tolist(), order.tolist()))
-        self.size = size
+        self.size = size = min(PHRASE, len(terms))
+        parts = np.lib.stride_tricks.sliding_window_view(self.terms, size)
+        self.offsets = np.argsort(frequency[parts], axis=1, kind="stable")
+        self.phrases = np.take_along_axis(parts, self.offsets, axis=1)
         distinct = np.unique(self.terms)
         self.rare = distinct[np.lexsort((distinct, frequency[distinct]))]
         self.need = math.ceil(SHARE * len(distinct))
@@ -146,11 +174,11 @@ def phrase_starts(segment: Segment, rows: np.ndarray, terms: list[int], offsets:
     return found
 
 
-def exact_matches(segment: Segment, rows: np.ndarray, item: Item) -> Iterator[tuple[int, int, int, int]]:
-    """(document, start in it, start in the item, tokens) of the longest runs of phrases."""
+def exact_matches(segment: Segment, rows: np.ndarray, item: Item, phrases: list[int]) -> Iterator[tuple[int, int, int, int]]:
+    """(document, start in it, start in the item, tokens) of the longest runs of the phrases."""
     hits: dict[int, list[int]] = {}
-    for k, terms, offsets in item.phrases:
-        for p in phrase_starts(segment, rows, terms, offsets).tolist():
+    for k in phrases:
+        for p in phrase_starts(segment, rows, item.phrases[k].tolist(), item.offsets[k].tolist()).tolist():
             hits.setdefault(p - k, []).append(k)
     for diagonal, ks in hits.items():
         run = [ks[0], ks[0]]
@@ -276,7 +304,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     each maximal run of good windows; n_tokens is the number of the item's
     distinct terms in it and item_start null. Words are
     compared in lower case, without punctuation. Rows with a null id, null or
-    empty texts and items match nothing; repeated rows give one result; other
+    empty texts and items match nothing, and an empty table gives no row; texts
+    of any length are indexed to their end. Every exact run is given, also
+    where several lie in one document; repeated rows give one result; other
     columns are ignored.
     """
     spark = docs.sparkSession
@@ -298,7 +328,8 @@ def _search(spark: SparkSession, stored: DataFrame, part: list[tuple[int, list[i
     wanted = np.array(sorted({t for _, terms in part for t in terms}), np.uint64)
     number = {t: k for k, t in enumerate(wanted.tolist())}
     frequency = term_counts(stored, wanted)
-    shared = spark.sparkContext.broadcast((wanted, [Item(i, terms, number, frequency) for i, terms in part]))
+    # of at most ITEMS_PER_PASS items
+    shared = spark.sparkContext.broadcast((wanted, Items([Item(i, terms, number, frequency) for i, terms in part])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, items = shared.value
@@ -308,9 +339,10 @@ def _search(spark: SparkSession, stored: DataFrame, part: list[tuple[int, list[i
                 segment = Segment(*(batch.column(c)[k].as_py() for c in range(5)))
                 rows = segment.find(wanted)
                 out = []
-                for item in items:
-                    for doc, start, item_start, n in exact_matches(segment, rows, item):
+                for item, phrases in items.phrases(rows):
+                    for doc, start, item_start, n in exact_matches(segment, rows, item, phrases):
                         out.append((int(segment.ids[doc]), item.id, "exact", start, item_start, n))
+                for item in items.windows(rows):
                     for doc, start, n in proximity_matches(segment, rows, item, every):
                         out.append((int(segment.ids[doc]), item.id, "proximity", start, None, n))
                 if out:
