@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from grovemap.cluster import cut
 from grovemap.operators.graph import Graph
 
 #: Ids of users that one task numbers.
@@ -41,7 +42,8 @@ def _trail(spark: SparkSession, sf_dir: str, kind: str, least: float | None) ->
         steps = steps.filter(F.col("value") > least)
     a, b = users.select(F.col("user_id"), F.col("ix").alias("src")), users.select(F.col("user_id").alias("next_id"), F.col("ix").alias("dst"))
     edges = steps.join(a, "user_id").join(b, "next_id").select("eix", "src", "dst", F.lit("calls").alias("edge_type"), (F.col("eix") % 4).cast("double").alias("weight"))
-    return Graph(nodes, edges)
+    # written once, as the operators read them several times
+    return Graph(cut(nodes, "nodes"), cut(edges, "edges"))
 
 
 def handoff(spark: SparkSession, sf_dir: str) -> Graph:
