@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from grovemap.cluster import cut
 
-__all__ = ["CHUNK_CHARS", "WORD", "chunks", "cut", "least_hashed", "release", "spread", "table", "tidy", "words_in"]
+__all__ = ["CHUNK_CHARS", "WORD", "chunks", "cut", "few", "least_hashed", "release", "spread", "table", "tidy", "without", "words_in"]
 
 WORD = re.compile(r"\w+")
 #: Characters of text that a Python worker tokenises at a time.
 CHUNK_CHARS = 1_000_000
+#: Ids that are sent to all tasks, where each takes some 50 bytes; more are joined by a shuffle.
+SENT_IDS = 1_000_000
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,6 +44,17 @@ def least_hashed(rows: DataFrame, key: str, limit: int) -> DataFrame:
     return one.orderBy(h, key).limit(limit)
 
 
+def few(ids: DataFrame) -> DataFrame:
+    """ids, a written table, marked to be sent to all tasks if it has no more than SENT_IDS rows; else as it is."""
+    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is among ids (_gm_id), a written table. As long as the ids can be sent to the documents, these aren't shuffled."""
+    gone = few(ids.select("_gm_id"))
+    return docs.join(gone, docs["doc_id"] == gone["_gm_id"], "left_anti")
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run, which afterwards hands its memory back to the system: Python workers stay alive between stages."""
 

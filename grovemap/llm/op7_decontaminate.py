@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovemap.llm.common import WORD, chunks, cut, spread, table, tidy
+from grovemap.llm.common import WORD, chunks, cut, spread, table, tidy, without
 
 #: Tokens of a phrase; shorter items of at least SHORTEST tokens are one phrase.
 PHRASE = 8
@@ -361,9 +361,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, chance_run: int = CHANCE
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones; rows with a null id stay."""
-    # written out, its size is known to the planner: few ids are broadcast, and the documents stay where they are
-    gone = cut(contaminated(docs, benchmark), "contaminated")
-    return docs.join(gone, docs["doc_id"] == gone["_gm_id"], "left_anti")
+    return without(docs, cut(contaminated(docs, benchmark), "contaminated"))
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

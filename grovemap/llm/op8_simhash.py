@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from grovemap.llm.common import WORD, chunks, cut, spread, table, tidy
+from grovemap.llm.common import WORD, chunks, cut, few, spread, table, tidy, without
 
 BITS = 128
 #: Largest Hamming distance of near duplicates, of 128.
@@ -322,13 +322,12 @@ def _print_of(texts: pd.Series) -> pd.DataFrame:
 
 def keep_one(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """docs without near duplicates: of each group the document of the least id stays. Rows of one id are told apart by their fingerprints, or texts where these have no word; those that are equal count once. Rows with a null id stay."""
-    # written out, their sizes are known to the planner
     gone = cut(removed(docs, text_col=text_col, **options).select(F.col("id").alias("_gm_id"), F.col("hi").alias("_gm_hi"), F.col("lo").alias("_gm_lo")).distinct(), "duplicates")
     again = cut(docs.groupBy(F.col("doc_id").alias("_gm_id")).count().filter("`count` > 1 AND _gm_id IS NOT NULL").select("_gm_id"), "repeated")
     if again.isEmpty():
-        return docs.join(gone, docs["doc_id"] == gone["_gm_id"], "left_anti")
-    once = docs.join(again, docs["doc_id"] == again["_gm_id"], "left_anti")
-    once = once.join(gone, once["doc_id"] == gone["_gm_id"], "left_anti")
+        return without(docs, gone)
+    once = without(without(docs, again), gone)
+    again = few(again)
     rows = docs.join(again, docs["doc_id"] == again["_gm_id"], "left_semi").withColumn("_gm_print", F.pandas_udf(_print_of, "hi long, lo long")(F.col(text_col).cast("string")))
     left = rows.join(gone, (rows["doc_id"] == gone["_gm_id"]) & (rows["_gm_print.hi"] == gone["_gm_hi"]) & (rows["_gm_print.lo"] == gone["_gm_lo"]), "left_anti")
     # of equal rows the least stays, as far as their columns have an order
