@@ -15,7 +15,8 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash.op8_simhash_near_dedup,
     "op9_personal_data": op9_pii.op9_personal_data,
     "op10_url_filter": op10_urls.op10_url_filter,
-    # the same operators where small tables can't show what they do
-    "quality_rules_at_half": op1_risk_rules.rules_at_half, "licence_texts": op3_licences.licence_texts,
-}
-ORACLE_SQL = {"op1_quality_rules": op1_risk_rules.SQL, "op2_warc_revisits": op2_revisits.SQL, "op3_licence_scan": op3_licences.SQL, "op4_mixing": op4_mixing.SQL, "op5_sharding": op5_sharding.SQL, "quality_rules_at_half": op1_risk_rules.HALF_SQL, "licence_texts": op3_licences.TEXTS_SQL}
+}
+ORACLE_SQL = {"op1_quality_rules": op1_risk_rules.SQL, "op2_warc_revisits": op2_revisits.SQL, "op3_licence_scan": op3_licences.SQL, "op4_mixing": op4_mixing.SQL, "op5_sharding": op5_sharding.SQL}
+#: The same operators where small tables can't show what they do.
+SHOWN = {"quality_rules_at_half": op1_risk_rules.rules_at_half, "licence_texts": op3_licences.licence_texts}
+SHOWN_SQL = {"quality_rules_at_half": op1_risk_rules.HALF_SQL, "licence_texts": op3_licences.TEXTS_SQL}
